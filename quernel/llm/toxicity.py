@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, so that unseen misspellings share n-gram vectors.
 
 A text is as toxic as its worst window of WINDOW words, wherever that stands. Only documents are labelled, so
-training alternates: start from whole documents, then let each toxic document contribute its worst windows and
-each clean one its worst and some random windows, and train anew. Fitted on at most per_class documents of each label
+training alternates: start from how much more often each n-gram occurs in toxic documents than in clean ones, then let
+each toxic document contribute its worst windows and each clean one its worst and some random windows, and train anew. Fitted on at most per_class documents of each label
 (a documented bound); a third is held out to set the threshold: the middle of the widest gap with the fewest errors.
 
 Result of score(): doc_id, toxicity (0..1), worst_word (first word of the worst window, -1 if none), is_toxic.
@@ -68,7 +68,22 @@ def _scorer(model: _subword.Model) -> Scorer:
     return Scorer(t[:, 1] - t[:, 0], float(model.bias[1] - model.bias[0]), 0.0)
 
 
-def fit(rows: list, dim: int = 16, rounds: int = 3, most: int = 20_000, seed: int = 11) -> Scorer | None:
+def _odds(chunks: list[_text.Words], y: np.ndarray, held: np.ndarray) -> Scorer:
+    """Scores each n-gram by the log odds of the documents not held out that have it, toxic over clean."""
+    n = np.full((2, (1 << BITS) + 1), 0.5)
+    for w in chunks:
+        ids = _subword.gram_ids(w.buf, BITS)
+        for i in range(w.hi - w.lo):
+            if not held[w.lo + i]:
+                n[y[w.lo + i], np.unique(np.concatenate([v[w.offs[i] : w.offs[i + 1]] for v in ids]))] += 1
+    share = n / (np.array([[(~held & (y == k)).sum() for k in (0, 1)]]).T + 1)
+    table = np.log(share[1] / share[0])
+    table[n.sum(axis=0) < 3] = 0  # seen once: chance
+    table[-1] = 0
+    return Scorer(table.astype(np.float32), 0.0, 0.0)
+
+
+def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float = 0.5, most: int = 20_000, seed: int = 11) -> Scorer | None:
     """Fits on rows (text, label 0 or 1)."""
     rng = np.random.default_rng(seed)
     rows = [r for r in rows if r.text and r.label in (0, 1)]
@@ -79,31 +94,26 @@ def fit(rows: list, dim: int = 16, rounds: int = 3, most: int = 20_000, seed: in
     if len(set(y[~held].tolist())) < 2:
         held[:] = False
     chunks = list(_text.words(pa.array([r.text for r in rows]), 1 << 18))
-    scorer = None
-    for step in range(rounds + 1):
+    scorer = _odds(chunks, y, held)
+    for step in range(rounds):
         bags, labels = [], []
         for w in chunks:
             ids = _subword.gram_ids(w.buf, BITS)
-            if scorer is not None:
-                s, _, last = scorer.windows(w)
+            s, _, last = scorer.windows(w)
             for i in range(w.hi - w.lo):
                 lo, hi = w.first[i], w.first[i + 1]
                 if held[w.lo + i] or lo == hi:
                     continue
                 label = y[w.lo + i]
-                if scorer is None:
-                    picks = [(w.offs[i], w.offs[i + 1])]
-                else:
-                    order = lo + np.argsort(-s[lo:hi], kind="stable")
-                    chosen = [int(order[0])] if label else [int(order[0]), *rng.integers(lo, hi, 3).tolist()]
-                    if label:  # others of its windows that share no word with the worst
-                        chosen += [int(k) for k in order[1:30] if abs(k - order[0]) >= WINDOW and s[k] > 0][:2]
-                    picks = [(w.starts[k], w.ends[last[k]]) for k in chosen]
-                for a, b in picks:
-                    bags.append(_subword.bag(ids, a, b, BITS, most, rng))
+                order = lo + np.argsort(-s[lo:hi], kind="stable")
+                chosen = [int(order[0])] if label else [int(order[0]), *rng.integers(lo, hi, 3).tolist()]
+                if label:  # others of its windows that share no word with the worst
+                    chosen += [int(k) for k in order[1:30] if abs(k - order[0]) >= WINDOW and s[k] > 0][:2]
+                for k in chosen:
+                    bags.append(_subword.bag(ids, w.starts[k], w.ends[last[k]], BITS, most, rng))
                     labels.append(label)
         model = _subword.Model(2, BITS, dim, seed)
-        model.train(bags, np.array(labels), 3 if scorer is None else 5, 0.5, seed + step)
+        model.train(bags, np.array(labels), epochs, rate, seed + step)
         scorer = _scorer(model)
     top = np.concatenate([scorer.worst(w)[0] for w in chunks])
     use = (held if held.any() else np.ones(len(y), bool)) & np.isfinite(top)
