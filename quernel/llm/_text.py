@@ -68,10 +68,10 @@ def spaced(arr: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(data: np.ndarray, offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive rows of about size bytes together: first row, end, bytes, offsets."""
+    """Consecutive rows of about size bytes, 2**15 at most, together: first row, end, bytes, offsets."""
     n, lo = len(offs) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, "right")) - 1), lo + (1 << 15))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import langid, suffix_dedup, toxicity
+from quernel.llm import langid, ngram_join, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -29,9 +33,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.SQL,
+    "op4_ngram_jaccard_join": ngram_join.SQL,
 }
