@@ -205,9 +205,11 @@ def spans_of(group: list[tuple], lcps: list[int], min_words: int) -> Iterator[tu
         if len(o) < 2:
             continue
         p, q = o[:-1], o[1:]
+        same = ctx[p, a] == ctx[q, a]  # then p < q
+        p, q = p[same], q[same]
         lv = np.frompyfunc(int.bit_length, 1, 1)(q - p).astype(np.int64) - 1
         right = np.minimum(table[lv, p + 1], table[lv, q - (1 << lv) + 1])
-        same = (ctx[p, a] == ctx[q, a]) & (right + a >= min_words)
+        same = right + a >= min_words
         hit[p[same], a] = True
         hit[q[same], a] = True
     for i in np.flatnonzero(hit.any(axis=1)).tolist():
