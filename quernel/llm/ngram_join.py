@@ -386,6 +386,12 @@ def groups(found: DataFrame) -> DataFrame:
     return _spark.components(found.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")))
 
 
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs but for those whose doc_id is in a group and not its smallest; rows with a null doc_id stay."""
+    gone = groups(pairs(docs, n, threshold)).where("node <> comp").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 SQL_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
 
 SQL = rf"""

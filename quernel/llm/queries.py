@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import decontaminate, langid, ngram_join, suffix_dedup, toxicity
+from quernel.llm import decontaminate, langid, mixing, ngram_join, records, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encode(table(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op8_token_records": op8_token_records,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {

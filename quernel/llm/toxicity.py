@@ -160,3 +160,20 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(at), pa.array(bad)], ["doc_id", "toxicity", "worst_word", "is_toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, toxicity double, worst_word long, is_toxic boolean")
+
+
+def clean(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """The rows of docs that are not toxic, with all columns."""
+    shared = _spark.session(docs).sparkContext.broadcast(scorer)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        scorer = shared.value
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            if scorer is not None:
+                for w in _text.words(b.column(place)):
+                    ok[w.lo : w.hi] = scorer.worst(w)[0] <= scorer.threshold
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
