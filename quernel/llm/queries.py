@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import decontaminate, langid, mixing, ngram_join, records, suffix_dedup, toxicity
+from quernel.llm import decontaminate, embedding_dedup, langid, licenses, mixing, ngram_join, records, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
 
@@ -38,17 +42,23 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).drop("text", "lang", "n_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_token_records": op8_token_records,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
