@@ -5,8 +5,10 @@ out of the merge (T: the overlap that the threshold requires), so a partner must
 
 1. Divide: the length of every list is counted over the whole corpus. The longest are kept in a table of fixed size
    that only sets an order, so neither its size nor hash collisions change the result.
-2. Every document posts its shortest lists, front-coded in sorted blobs. Documents with equal sets post as one.
-   A merge task per range of n-grams names the pairs that meet in a list and differ little enough in size.
+2. Every document posts its |x| - T + SHORT shortest lists, front-coded in sorted blobs. Documents with equal sets post
+   as one. A merge task per range of n-grams counts in how many lists each pair meets that differs little enough in
+   size. What a pair shares apart from these lists is at most what either has in longer ones; if that can't fill up the
+   count to the overlap that sizes and threshold require, the pair is left out.
 3. Such pairs are routed to cells: a document goes to the cell of its partner's smallest partner, so groups of copies
    meet in one place. In each cell divide_skip() merges the short lists of each query, probes the long ones by binary
    search for what may still reach T, and retains the documents that reach the required overlap.
@@ -35,6 +37,7 @@ from quernel.llm import _spark, _text
 N, THRESHOLD = 3, 0.5
 #: Bits of an n-gram's hash, grams that are sorted at once, documents of a cell, list lengths that are kept.
 BITS, FLUSH, CELL, KEPT = 40, 4 << 20, 4000, 1 << 20
+SHORT = 3
 _MASK = np.uint64((1 << BITS) - 1)
 _U = np.uint64
 
@@ -74,8 +77,18 @@ def set_ids(key: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def prefix_sizes(size: np.ndarray, threshold: float) -> np.ndarray:
-    """How many shortest lists each query merges: |x| - T + 1, with T the least overlap that any partner needs."""
-    return np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+    """How many shortest lists each query merges: |x| - T + SHORT (at most all), with T the least overlap that any partner needs."""
+    least = np.ceil(threshold * size - 1e-9).astype(np.int64)
+    return np.where(size > 0, size - least + np.minimum(SHORT, least), 0)
+
+
+def add_up(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sum of their times."""
+    x, n = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -285,27 +298,26 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
             once = np.append(True, (g[1:] != g[:-1]) | (who[1:] != who[:-1]))[: len(g)]
             g, who = g[once], who[once]
             size = sizes[who]
-            found, live, step, pending = [], np.arange(len(g)), 1, 0
-
-            def unique(found):
-                x = np.concatenate(found)
-                x.sort()
-                return x[np.append(True, x[1:] != x[:-1])]
-
+            found, times, live, step, pending = [], [], np.arange(len(g)), 1, 0
             while len(live):
                 live = live[live + step < len(g)]
                 live = live[(g[live + step] == g[live]) & (size[live] >= threshold * size[live + step] - 1e-9)]
                 x, y = who[live], who[live + step]
                 found.append((np.minimum(x, y).astype(np.uint64) << _U(32)) | np.maximum(x, y).astype(np.uint64))
+                times.append(np.ones(len(live), np.int32))
                 pending += len(live)
                 if pending > FLUSH:
-                    found, pending = [unique(found)], 0
+                    x, n = add_up(found, times)
+                    found, times, pending = [x], [n], 0
                 step += 1
-            if not found or not sum(map(len, found)):
+            if not found:
                 continue
-            x = unique(found)
-            a, b = sids[(x >> _U(32)).astype(np.int64)].view(np.int64), sids[(x & _U(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            x, n = add_up(found, times)
+            i, j = (x >> _U(32)).astype(np.int64), (x & _U(0xFFFFFFFF)).astype(np.int64)
+            most = np.maximum(sizes - prefix_sizes(sizes, threshold), 0)  # in longer lists
+            need = np.ceil(threshold / (1 + threshold) * (sizes[i] + sizes[j]) - 1e-9).astype(np.int64) - np.maximum(most[i], most[j])
+            a, b = sids[i].view(np.int64), sids[j].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int64)), pa.array(need)], ["a", "b", "times", "need"])
 
     def carry(batches):
         for b in batches:
@@ -351,7 +363,8 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
         yield from done()
 
     posted, posted_path = _spark.cut(docs.mapInArrow(post, "part int, blob binary, doc_id long, sid long, size long"), "postings")
-    met = posted.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(meet, "a long, b long").distinct()
+    met = posted.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(meet, "a long, b long, times long, need long")
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     met, met_path = _spark.cut(met, "met")
     known = posted.where("part IS NULL").select("doc_id", "sid", "size").distinct()
     known, known_path = _spark.cut(known, "sets")
