@@ -44,6 +44,14 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def matching(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join with ids, whose rows are sent to all tasks if there are no more than most of them, so that df stays where it is."""
+    rows = ids.limit(most + 1).collect()
+    if len(rows) > most:
+        return df.join(ids, key)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, ids.schema)), key)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src LONG, dst LONG) as (node, comp), comp being the smallest id.
 
