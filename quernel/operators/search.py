@@ -106,10 +106,14 @@ def search_batch(spark: SparkSession, docs: DataFrame, postings: DataFrame, quer
     idf = [(q, i, t, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0)) for q, i, t in rows]
     weights = spark.createDataFrame(idf, "qid int, ord int, term string, idf double")
     pairs = mine.join(asked.select("qid", "term").distinct(), "term").select("qid", "doc_id").distinct()
-    text = pairs.join(docs.select("doc_id", "lt", "text", "term_count"), "doc_id")
+    need = pairs.join(weights, "qid").select("qid", "doc_id", "term", "idf")
+    # a text meets all its terms at once, so it moves once and each term is counted in it once, whatever asks for it
+    wanted = need.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     length = F.when(F.col("term_count") > 0, F.col("term_count")).otherwise(F.length("text")).cast("double")
-    tf = ((F.length("lt") - F.length(F.replace("lt", "term", F.lit("")))) / F.length("term")).cast("double")
-    each = text.join(weights, "qid").select("qid", "doc_id", "idf", tf.alias("tf"), length.alias("dl")).where("tf > 0")
+    text = docs.select("doc_id", "lt", F.length("lt").alias("chars"), length.alias("dl")).join(wanted, "doc_id")
+    text = text.select("doc_id", "lt", "chars", "dl", F.explode("terms").alias("term"))
+    tf = ((F.col("chars") - F.length(F.replace("lt", "term", F.lit("")))) / F.length("term")).cast("double")
+    each = need.join(text.select("doc_id", "term", "dl", tf.alias("tf")).where("tf > 0"), ["doc_id", "term"])
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * (F.col("dl") / F.lit(avgdl or 1.0)))
     part = F.col("idf") * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + norm)
     scores = each.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
