@@ -57,7 +57,7 @@ def sample(docs: DataFrame, label: str, per_class: int) -> list:
     ids = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(ids.dropDuplicates(["doc_id"]), "doc_id")
+    rows = _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids.dropDuplicates(["doc_id"]), "doc_id")
     return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
 
 
