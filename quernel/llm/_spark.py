@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,23 @@ def matching(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, ids.schema)), key)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:
+    """What fit makes of the rows (doc_id, text, label), by doc_id and the first of each id: in one task, so the driver holds the model alone.
+
+    The rows must be a bounded sample.
+    """
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)).to_pydict() if (batches := [b for b in batches if b.num_rows]) else {"doc_id": [], "text": [], "label": []}
+        order = sorted(range(len(table["doc_id"])), key=lambda i: (table["doc_id"][i], table["text"][i]))
+        order = [i for k, i in enumerate(order) if not k or table["doc_id"][i] != table["doc_id"][order[k - 1]]]
+        model = fit([SimpleNamespace(doc_id=table["doc_id"][i], text=table["text"][i], label=table["label"][i]) for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src LONG, dst LONG) as (node, comp), comp being the smallest id.
 

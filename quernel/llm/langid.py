@@ -52,13 +52,12 @@ class Identifier:
         return best, conf, (count > 0) & (conf >= self.least) & (mean[:, -1] >= self.known)
 
 
-def sample(docs: DataFrame, label: str, per_class: int) -> list:
-    """At most per_class rows (text, label) of each label, by a hash of doc_id; only ids are ranked, not texts."""
+def sample(docs: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most per_class rows (doc_id, text, label) of each label, by a hash of doc_id; only ids are ranked, not texts."""
     ids = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
-    rows = _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids.dropDuplicates(["doc_id"]), "doc_id")
-    return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    return _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids.dropDuplicates(["doc_id"]), "doc_id")
 
 
 def fit(rows: list, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, most: int = 20_000, precision: float = 0.999, seed: int = 7) -> Identifier | None:
@@ -101,7 +100,7 @@ def fit(rows: list, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float
 def identify(docs: DataFrame, labelled: DataFrame | None = None, label: str = "lang", per_class: int = 800) -> DataFrame:
     """Language of every row of docs (doc_id, text), fitted on labelled (doc_id, text and label; docs itself if None)."""
     spark = _spark.session(docs)
-    model = fit(sample(docs if labelled is None else labelled, label, per_class))
+    model = _spark.fit_in_task(sample(docs if labelled is None else labelled, label, per_class), fit)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

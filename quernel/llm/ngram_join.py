@@ -36,7 +36,7 @@ from quernel.llm import _spark, _text
 
 N, THRESHOLD = 3, 0.5
 #: Bits of an n-gram's hash, grams that are sorted at once, documents of a cell, list lengths that are kept.
-BITS, FLUSH, CELL, KEPT = 40, 4 << 20, 4000, 1 << 20
+BITS, FLUSH, CELL, KEPT = 40, 2 << 20, 4000, 1 << 18
 SHORT = 3
 _MASK = np.uint64((1 << BITS) - 1)
 _U = np.uint64
@@ -161,9 +161,9 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(g[at][long].astype(np.int64)), pa.array(times[long])], ["gram", "times"])
 
     blobs = docs.select("text").mapInArrow(count, "part int, blob binary").repartition(parts, "part")
-    found = blobs.mapInArrow(top, "gram long, times long").toPandas()
+    found = blobs.mapInArrow(top, "gram long, times long").toArrow()
     table = np.zeros(1 << 24, np.uint8)
-    np.maximum.at(table, found["gram"].to_numpy(np.int64) >> 8, np.log2(found["times"].to_numpy(np.float64)).astype(np.uint8))
+    np.maximum.at(table, found["gram"].to_numpy() >> 8, np.log2(found["times"].to_numpy()).astype(np.uint8))
     return table
 
 

@@ -198,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model |
     known = labels.select("doc_id", F.col("quality").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
-    rows = _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"])
-    return fit(sorted(rows.collect(), key=lambda r: r.doc_id))
+    _spark.session(docs)
+    return _spark.fit_in_task(_spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id"), fit)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

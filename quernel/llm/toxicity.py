@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _subword, _text, langid
@@ -130,16 +130,10 @@ def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Scorer | None:
     """Fits on at most per_class documents of each label."""
     known = labels.select("doc_id", F.col("toxic").alias("label")).where("label IN (0, 1)").dropDuplicates(["doc_id"])
-    return fit(_labelled(docs, known, per_class))
-
-
-def _labelled(docs: DataFrame, known: DataFrame, per_class: int) -> list:
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.where("doc_id IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
-    rows = _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"])
-    return sorted(rows.collect(), key=lambda r: r.doc_id)
+    _spark.session(docs)
+    return _spark.fit_in_task(_spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id"), fit)
 
 
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
