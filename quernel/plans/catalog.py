@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,7 +207,7 @@ def index_upsert(spark, sf_dir):
 @query
 def snapshot_roundtrip(spark, sf_dir):
     d = docs(spark, sf_dir)
-    path = f"{storage.workspace(spark)}/snapshot-query-{spark.sparkContext.applicationId}-{id(d)}"
+    path = f"{storage.workspace(spark)}/snapshot-query-{uuid.uuid4().hex}"
     snapshot.save(path, d, index.build_postings(d), next_id=0)
     back = snapshot.load(spark, path)
     return back.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_pos"))
@@ -444,7 +444,7 @@ _structured("field_match", "title:src1")
 
 
 def _written(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    path = f"{storage.workspace(spark)}/{kind}-{tempfile.mktemp(dir='')[1:]}"
+    path = f"{storage.workspace(spark)}/{kind}-{uuid.uuid4().hex}"
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.regexp_replace("text", "[\\r\\n]+", " ").alias("content"))
     if kind == "jsonl":
         d.write.json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ def workspace(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
