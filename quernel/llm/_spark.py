@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.llm import _text
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -29,6 +32,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of spark.checkpoint.dir; a local folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -69,7 +74,7 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:
         model = fit([SimpleNamespace(doc_id=table["doc_id"][i], text=table["text"][i], label=table["label"][i]) for i in order])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(_text.tidy(run), "model binary").first()
     return pickle.loads(made.model) if made else fit([])
 
 

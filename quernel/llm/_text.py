@@ -6,6 +6,8 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE = 32
-CHUNK = 1 << 20
+CHUNK, ROWS = 1 << 19, 2048
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -116,9 +118,25 @@ class Words:
 
 def words(arr: pa.Array, size: int = CHUNK) -> Iterator[Words]:
     """The words of a column, some rows at a time."""
-    data, offs = spaced(arr, True)
-    for piece in pieces(data, offs, size):
-        yield Words(*piece)
+    for base in range(0, len(arr), ROWS):
+        data, offs = spaced(arr.slice(base, ROWS), True)
+        for lo, hi, part, ends in pieces(data, offs, size):
+            yield Words(base + lo, base + hi, part, ends)
+
+
+def tidy(run):
+    """The function for mapInArrow, which then gives free memory back to the system: workers live on, beside those of later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # a C library that has no such call
+            pass
+
+    return tidied
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:

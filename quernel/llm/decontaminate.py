@@ -273,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall
 
         return run
 
-    found = [docs.mapInArrow(scan(x), "doc_id long, item_id long, distance long, end_word long") for x in indexes]
+    found = [docs.mapInArrow(_text.tidy(scan(x)), "doc_id long, item_id long, distance long, end_word long") for x in indexes]
     for x in found[1:]:
         found[0] = found[0].union(x)
     return found[0]
@@ -295,5 +295,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
         return run
 
     for x in _indexes(_spark.session(docs), benchmark, rate, recall):
-        docs = docs.mapInArrow(keep(x), docs.schema)
+        docs = docs.mapInArrow(_text.tidy(keep(x)), docs.schema)
     return docs

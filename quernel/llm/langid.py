@@ -115,4 +115,4 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, label: str = "l
                     names[w.lo : w.hi] = np.where(ok[w.lo : w.hi], every[best], UNKNOWN)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(conf), pa.array(ok)], ["doc_id", "lang_pred", "confidence", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, confidence double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), "doc_id long, lang_pred string, confidence double, accepted boolean")

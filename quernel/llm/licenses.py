@@ -206,4 +206,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_match: in
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "license", "start_word", "end_word", "matched", "coverage", "n_tokens"])
 
     schema = "doc_id long, license string, start_word long, end_word long, matched long, coverage double, n_tokens long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), schema)

@@ -160,8 +160,8 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
             long = long[np.argsort(-times[long], kind="stable")[: 2 * KEPT // parts]]
             yield pa.RecordBatch.from_arrays([pa.array(g[at][long].astype(np.int64)), pa.array(times[long])], ["gram", "times"])
 
-    blobs = docs.select("text").mapInArrow(count, "part int, blob binary").repartition(parts, "part")
-    found = blobs.mapInArrow(top, "gram long, times long").toArrow()
+    blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartition(parts, "part")
+    found = blobs.mapInArrow(_text.tidy(top), "gram long, times long").toArrow()
     table = np.zeros(1 << 24, np.uint8)
     np.maximum.at(table, found["gram"].to_numpy() >> 8, np.log2(found["times"].to_numpy()).astype(np.uint8))
     return table
@@ -362,8 +362,8 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
                     sets.append(unplanes(blob, len(blob) // 5, 5, 0))
         yield from done()
 
-    posted, posted_path = _spark.cut(docs.mapInArrow(post, "part int, blob binary, doc_id long, sid long, size long"), "postings")
-    met = posted.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(meet, "a long, b long, times long, need long")
+    posted, posted_path = _spark.cut(docs.mapInArrow(_text.tidy(post), "part int, blob binary, doc_id long, sid long, size long"), "postings")
+    met = posted.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     met, met_path = _spark.cut(met, "met")
     known = posted.where("part IS NULL").select("doc_id", "sid", "size").distinct()
@@ -382,8 +382,8 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
     sub = F.least("bucket", "other") * F.lit(1 << 20) + F.greatest("bucket", "other")
     cells = member.groupBy("sid").agg(F.collect_set(F.struct("cell", sub.alias("sub"))).alias("cells"))
     wanted = first.join(cells, "sid").select("doc_id", "sid", "cells")
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "cells").mapInArrow(carry, "cell long, sub long, sid long, grams binary")
-    found = sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid").mapInArrow(search, "a long, b long, overlap long, jaccard double")
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "cells").mapInArrow(_text.tidy(carry), "cell long, sub long, sid long, grams binary")
+    found = sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid").mapInArrow(_text.tidy(search), "a long, b long, overlap long, jaccard double")
     found, _ = _spark.cut(found.distinct(), "similar")
     _spark.drop(spark, met_path)
 

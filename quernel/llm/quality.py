@@ -67,10 +67,11 @@ class Bags:
         self.sizes = np.minimum(PASSAGE, np.repeat(first[1:], n) - self.starts)
 
 
-def bags(arr: pa.Array, size: int = 1 << 20):
-    data, offs = _text.spaced(arr, False)
-    for piece in _text.pieces(data, offs, size):
-        yield Bags(*piece)
+def bags(arr: pa.Array, size: int = _text.CHUNK):
+    for base in range(0, len(arr), _text.ROWS):
+        data, offs = _text.spaced(arr.slice(base, _text.ROWS), False)
+        for lo, hi, part, ends in _text.pieces(data, offs, size):
+            yield Bags(base + lo, base + hi, part, ends)
 
 
 def _sigmoid(x):
@@ -224,4 +225,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (p, good, count, top, weight))], names)
 
     schema = "doc_id long, quality double, is_good boolean, n_passages long, top_passage long, top_weight double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm import _spark
+from quernel.llm import _spark, _text
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, end_id: int | None = None)
                 seq += len(n)
                 offset += int(offs[-1])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FIELDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), FIELDS)
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str = RANKS, end_id:
             out.close()
             fs.move(temp, f"{base}/shard-{shard:05d}.rec")
 
-    index = encode(docs, ranks_path, end_id).mapInArrow(run, FIELDS.removesuffix(", record binary"))
+    index = encode(docs, ranks_path, end_id).mapInArrow(_text.tidy(run), FIELDS.removesuffix(", record binary"))
     at = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
     index.write.parquet(f"{at}/index")
     return spark.read.parquet(f"{at}/index")

@@ -307,7 +307,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, np.array(out, np.int64).T)], names)
 
-    found, found_path = _spark.cut(docs.mapInArrow(scan, "doc_id long, h long"), "anchors")
+    found, found_path = _spark.cut(docs.mapInArrow(_text.tidy(scan), "doc_id long, h long"), "anchors")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     per_doc, doc_path = _spark.cut(
         found.join(again, "h").distinct().groupBy("doc_id").agg(F.collect_list("h").alias("hs")), "repeated-anchors"
@@ -316,14 +316,14 @@ def find_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     total = per_doc.agg(F.sum(F.size("hs"))).first()[0] or 0
     parts = max(1, -(-total // PART_RECORDS))
     runs, runs_path = _spark.cut(
-        docs.join(per_doc, "doc_id").mapInArrow(make_runs, "part int, run binary, doc_id long, start_word long, end_word long"), "runs"
+        docs.join(per_doc, "doc_id").mapInArrow(_text.tidy(make_runs), "part int, run binary, doc_id long, start_word long, end_word long"), "runs"
     )
     _spark.drop(spark, doc_path)
     merged = (
         runs.where("part IS NOT NULL")
         .select("part", "run")
         .repartition(parts, "part")
-        .mapInArrow(merge_runs, "doc_id long, start_word long, end_word long")
+        .mapInArrow(_text.tidy(merge_runs), "doc_id long, start_word long, end_word long")
     )
     return islands(merged.union(runs.where("part IS NULL").select("doc_id", "start_word", "end_word")))
 

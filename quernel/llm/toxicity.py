@@ -153,7 +153,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                     bad[w.lo : w.hi] = top > scorer.threshold
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(at), pa.array(bad)], ["doc_id", "toxicity", "worst_word", "is_toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, toxicity double, worst_word long, is_toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), "doc_id long, toxicity double, worst_word long, is_toxic boolean")
 
 
 def clean(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -170,4 +170,4 @@ def clean(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                     ok[w.lo : w.hi] = scorer.worst(w)[0] <= scorer.threshold
             yield b.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(_text.tidy(run), docs.schema)
