@@ -160,7 +160,7 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
             long = long[np.argsort(-times[long], kind="stable")[: 2 * KEPT // parts]]
             yield pa.RecordBatch.from_arrays([pa.array(g[at][long].astype(np.int64)), pa.array(times[long])], ["gram", "times"])
 
-    blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartition(parts, "part")
+    blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartitionById(parts, F.col("part"))
     found = blobs.mapInArrow(_text.tidy(top), "gram long, times long").toArrow()
     table = np.zeros(1 << 24, np.uint8)
     np.maximum.at(table, found["gram"].to_numpy() >> 8, np.log2(found["times"].to_numpy()).astype(np.uint8))
@@ -256,7 +256,9 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
                 _, once = np.unique(sid, return_index=True)  # equal sets of one piece post once
                 take = np.zeros(len(size), np.int64)
                 take[once] = prefix_sizes(size, threshold)[once]
-                order = np.argsort((row << _U(BITS + 8)) | (classes.value[g >> _U(BITS - 24)].astype(np.uint64) << _U(BITS)) | g)
+                # among lists of one class the order is one of hashes, other than that which merge tasks go by
+                other = (g * _U(0x9E3779B97F4A7C15)) & _MASK
+                order = np.argsort((row << _U(BITS + 8)) | (classes.value[g >> _U(BITS - 24)].astype(np.uint64) << _U(BITS)) | other)
                 rank = np.arange(len(key)) - first[row.astype(np.int64)]
                 chosen = order[rank < take[row.astype(np.int64)]]
                 keys.append((g[chosen] << _U(24)) | (row[chosen] + _U(held)))
@@ -363,7 +365,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
         yield from done()
 
     posted, posted_path = _spark.cut(docs.mapInArrow(_text.tidy(post), "part int, blob binary, doc_id long, sid long, size long"), "postings")
-    met = posted.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
+    met = posted.where("part IS NOT NULL").select("part", "blob").repartitionById(parts, F.col("part")).mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     met, met_path = _spark.cut(met, "met")
     known = posted.where("part IS NULL").select("doc_id", "sid", "size").distinct()
