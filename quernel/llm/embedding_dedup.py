@@ -141,3 +141,19 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES)
     """The pairs with the group that they are in."""
     found, _ = _spark.cut(pairs(vectors, threshold, trees), "near")
     return found.join(groups(found).select(F.col("node").alias("vec_a"), F.col("comp").alias("group_id")), "vec_a")
+
+
+#: All pairs; up to LEAF vectors the forest compares all of them, too.
+SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+v AS (SELECT vec_id, e, min(vec_id) OVER (PARTITION BY e) AS first FROM e),
+u AS (SELECT vec_id, e FROM v WHERE vec_id = first),
+p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
+  FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+  UNION ALL SELECT first, vec_id, 1.0 FROM v WHERE vec_id > first),
+b AS (SELECT vec_a AS x, vec_b AS y FROM p UNION ALL SELECT vec_b, vec_a FROM p),
+r AS (SELECT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x),
+g AS (SELECT x, min(y) AS group_id FROM r GROUP BY x)
+SELECT vec_a, vec_b, similarity, group_id FROM p JOIN g ON g.x = vec_a
+"""

@@ -71,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_ngram_jaccard_join": ngram_join.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
 }

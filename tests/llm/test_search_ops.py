@@ -266,6 +266,17 @@ def test_embeddings(spark, monkeypatch):
     assert len(grouped) == len(want) and all(r.group_id <= r.vec_a for r in grouped)
 
 
+def test_embeddings_sql(spark):
+    import duckdb
+
+    x = np.concatenate([vectors(200), vectors(200)[:7] * 1.0])
+    v = spark.createDataFrame([(i, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    c = duckdb.connect()
+    c.register("embeddings", v.toArrow())
+    want = {(a, b, round(s, 5), g) for a, b, s, g in c.sql(embedding_dedup.SQL).fetchall()}
+    assert {(r.vec_a, r.vec_b, round(r.similarity, 5), r.group_id) for r in embedding_dedup.dedup(v).collect()} == want and len(want) > 100
+
+
 def test_embeddings_odd(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 0.0]), (6, []), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'c' AS norm", "'c' AS tree", "'c' AS x")
