@@ -66,7 +66,8 @@ def anchors(w: _text.Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.
         return np.zeros(0, np.uint64), none, none, none
     ends = np.flatnonzero(ok[:-1] & (np.append(new[1:], True) | ~ok[1:]))
     a = at[firsts]
-    return g[a], a, firsts, ends
+    # anchors are small hashes; mixed again they are spread evenly over the merge tasks
+    return _text.mix(g[a]), a, firsts, ends
 
 
 def lcp(a: bytes, b: bytes, known: int = 0) -> int:
@@ -322,7 +323,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     merged = (
         runs.where("part IS NOT NULL")
         .select("part", "run")
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .mapInArrow(_text.tidy(merge_runs), "doc_id long, start_word long, end_word long")
     )
     return islands(merged.union(runs.where("part IS NULL").select("doc_id", "start_word", "end_word")))
