@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written as
 Parquet and read again. All but the last keep the columns of documents. Stages lose nothing that they don't reject:
-repeated rows, null ids and null texts go through until the mixture, which leaves out what exceeds the target weights.
+repeated rows, null ids and null texts go through to the end. The mixture has all documents.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture, in its order."""
+    """All documents, in the mixture's order."""
     return mixing.mix(docs)
 
 

@@ -7,8 +7,12 @@ processor that meets every deadline, so after any number of slots each source's
 less than one block. Windows repeat after R slots, so one period of fixed size is scheduled and shared, whatever the
 amount of data: block j is in period (j-1) div k, in the slot of that period's ((j-1) mod k)-th block.
 
-The mixture ends in the slot in which some source has no block left: from there on the weights can't be held. What other
-sources have left over isn't part of the mixture. A document is part of the block in which it starts.
+In the slot in which some source has no block left, a phase ends: from there on the weights can't be held. A next phase
+schedules what is left of the others by the units they have, from which their shares follow, and so on until all blocks
+have a slot. So no document is lost, there are no more phases than sources, and within each phase a source's number of
+blocks differs from its share of the phase by less than one. With whole=False the mixture is the first phase alone, which
+holds the weights and leaves out what other sources have left; that is the default for weights that are given, while
+default weights make a whole mixture. A document is part of the block in which it starts.
 
 Default weights are volumes to the power of temperature, so that small sources count for more than their volume.
 
@@ -25,6 +29,7 @@ like one of the result's are replaced in it; mix() keeps them.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from fractions import Fraction
@@ -78,29 +83,52 @@ def _slot(j: int, k: int, size: int, slots: list[int]) -> int:
     return (j - 1) // k * size + slots[(j - 1) % k]
 
 
-def _plan(docs: DataFrame, weights: dict | None, block_chars: int, resolution: int, temperature: float):
-    """Rows (source, index, units, buckets) of the sources, rows (index, nth, in_period), and the slot at which the mixture ends."""
+def phases(k: list[int], blocks: list[int], whole: bool = True) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], int]:
+    """Rows (phase, source, before, upto, first, units, size): a source's blocks before < j <= upto are in the phase, whose
+    first slot and period are given; rows (phase, source, nth, in_period); and the number of slots. Only the first phase if not whole."""
+    left, first = dict(enumerate(blocks)), 0
+    ranges, table = [], []
+    for phase in range(len(k)):
+        index = sorted(left)
+        size = sum(k[i] for i in index)
+        slots: dict[int, list[int]] = {i: [] for i in index}
+        for slot, (i, _) in enumerate(period([k[i] for i in index])):
+            slots[index[i]].append(slot)
+        end = min(_slot(left[i] + 1, k[i], size, slots[i]) for i in index)
+        for i in index:
+            done = end // size * k[i] + bisect.bisect_left(slots[i], end % size)
+            if done:
+                ranges.append((phase, i, blocks[i] - left[i], blocks[i] - left[i] + done, first, k[i], size))
+                table += [(phase, i, n, s) for n, s in enumerate(slots[i][:done])]
+            left[i] -= done
+        first += end
+        left = {i: n for i, n in left.items() if n}
+        if not left or not whole:
+            break
+    return ranges, table, first
+
+
+def _plan(docs: DataFrame, weights: dict | None, block_chars: int, resolution: int, temperature: float, whole: bool | None):
+    """Rows (source, index, blocks, buckets) of the sources, and phases()."""
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars")).collect()
     sizes = sorted(sizes, key=lambda r: (r.source is not None, r.source or ""))
+    whole = weights is None if whole is None else whole
     if weights is None:
         weights = {r.source: max(1, r.chars) ** temperature for r in sizes}
     sizes = [r for r in sizes if (weights.get(r.source) or 0) > 0]
-    resolution = max(resolution, 8 * len(sizes))
-    k = units([weights[r.source] for r in sizes], resolution)
-    table = period(k) if k else []
-    slots: list[list[int]] = [[] for _ in k]
-    for slot, (i, _) in enumerate(table):
-        slots[i].append(slot)
-    end = min((_slot(max(1, -(-r.chars // block_chars)) + 1, k[i], resolution, slots[i]) for i, r in enumerate(sizes)), default=0)
-    sources = [(r.source, i, k[i], max(1, -(-r.chars // BUCKET_CHARS))) for i, r in enumerate(sizes)]
-    return sources, [(i, j, s) for s, (i, j) in enumerate(table)], end, resolution
-
-
-def _scheduled(docs: DataFrame, weights, block_chars, resolution, temperature, seed) -> tuple[DataFrame, int]:
+    k = units([weights[r.source] for r in sizes], max(resolution, 8 * len(sizes)))
+    blocks = [max(1, -(-r.chars // block_chars)) for r in sizes]
+    sources = [(r.source, i, blocks[i], max(1, -(-r.chars // BUCKET_CHARS))) for i, r in enumerate(sizes)]
+    return sources, *phases(k, blocks, whole)
+
+
+def _scheduled(docs: DataFrame, weights, block_chars, resolution, temperature, seed, whole) -> tuple[DataFrame, int]:
     spark = _spark.session(docs)
-    sources, table, end, resolution = _plan(docs, weights, block_chars, resolution, temperature)
-    src = spark.createDataFrame(sources, "_name string, _index long, _units long, _buckets long")
-    slots = spark.createDataFrame(table, "_index long, _nth long, _in_period long")
+    sources, ranges, table, end = _plan(docs, weights, block_chars, resolution, temperature, whole)
+    src = spark.createDataFrame(sources, "_name string, _index long, _blocks long, _buckets long")
+    # as large as the sources are many, whatever their size
+    ranges = F.broadcast(spark.createDataFrame(ranges, "_phase long, _in long, _before long, _upto long, _first long, _units long, _size long"))
+    slots = F.broadcast(spark.createDataFrame(table, "_phase long, _index long, _nth long, _in_period long"))
     x = docs.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     x = x.join(src, F.col("source").cast("string").eqNullSafe(F.col("_name")), "left")
     part = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
@@ -113,24 +141,26 @@ def _scheduled(docs: DataFrame, weights, block_chars, resolution, temperature, s
     x = x.withColumn("_sum", F.sum("_chars").over(within) - F.col("_chars"))
     x = x.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
     x = x.withColumn("char_start", F.col("_base") + F.col("_sum"))
-    x = x.withColumn("block", F.floor(F.col("char_start") / block_chars) + 1)
-    x = x.withColumn("_nth", (F.col("block") - 1) % F.col("_units")).join(slots, ["_index", "_nth"], "left")
-    slot = F.floor((F.col("block") - 1) / F.col("_units")) * resolution + F.col("_in_period")
-    return x.withColumn("slot", F.when(slot < end, slot)), end
+    # empty texts behind a last block that is full have no block of their own
+    x = x.withColumn("block", F.least(F.floor(F.col("char_start") / block_chars) + 1, "_blocks"))
+    x = x.join(ranges, (F.col("_index") == F.col("_in")) & (F.col("block") > F.col("_before")) & (F.col("block") <= F.col("_upto")), "left")
+    done = F.col("block") - 1 - F.col("_before")
+    x = x.withColumn("_nth", done % F.col("_units")).join(slots, ["_phase", "_index", "_nth"], "left")
+    return x.withColumn("slot", F.col("_first") + F.floor(done / F.col("_units")) * F.col("_size") + F.col("_in_period")), end
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
     """Block, slot and place of every row of docs (doc_id, text, source, ...); see the module for the result."""
     own = [c for c in docs.columns if c not in ("block", "slot", "char_start")]
-    x, _ = _scheduled(docs.select(*own), weights, block_chars, resolution, temperature, seed)
+    x, _ = _scheduled(docs.select(*own), weights, block_chars, resolution, temperature, seed, whole)
     return x.select(*own, "block", "slot", "char_start")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
     """The mixture's rows in its order, with the columns of docs."""
     own = [c for c in docs.columns if c not in ("block", "slot", "char_start")]
     spare = {c: f"_own_{c}" for c in docs.columns if c not in own}
-    x, end = _scheduled(docs.withColumnsRenamed(spare), weights, block_chars, resolution, temperature, seed)
+    x, end = _scheduled(docs.withColumnsRenamed(spare), weights, block_chars, resolution, temperature, seed, whole)
     parts = max(1, -(-end * block_chars // PART_CHARS))
     x = x.where("slot IS NOT NULL").repartitionByRange(parts, "slot").sortWithinPartitions("slot", "char_start", "doc_id")
     return x.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])

@@ -92,6 +92,52 @@ def test_buckets(spark, monkeypatch):
         assert [r.char_start for r in own] == np.cumsum([0, *(len(r.text) for r in own)])[:-1].tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 10), st.integers(1, 300)), min_size=1, max_size=7), st.integers(8, 40))
+def test_phases(sources, size):
+    k, blocks = mixing.units([w for w, _ in sources], size), [n for _, n in sources]
+    ranges, table, end = mixing.phases(k, blocks)
+    at = {(p, i, n): s for p, i, n, s in table}
+    order = {}
+    for p, i, before, upto, first, n, period in ranges:
+        for j in range(before, upto):
+            order[first + (j - before) // n * period + at[p, i, (j - before) % n]] = p, i, j
+    assert sorted(order) == list(range(end)) and end == sum(blocks)  # a slot for every block, none twice
+    assert len({p for p, *_ in ranges}) <= len(k)
+    done, since, phase, start = Counter(), Counter(), 0, 0
+    for slot in range(end):
+        p, i, j = order[slot]
+        if p != phase:
+            assert any(done[s] == blocks[s] for s in of)  # a phase ends where a source does
+            phase, start, since = p, slot, Counter()
+        if not since:
+            of = [s for s in range(len(k)) if done[s] < blocks[s]]
+        assert j == done[i]
+        done[i] += 1
+        since[i] += 1
+        for s in of:
+            assert abs(since[s] - Fraction((slot + 1 - start) * k[s], sum(k[x] for x in of))) < 1
+
+
+def test_whole_mixture(spark):
+    docs, rows = sources(spark, {"a": 400, "b": 60, "tiny": 1}, chars=2000)
+    rows.append((999, "", "b"))
+    docs = documents(spark, rows)
+    got = mixing.schedule(docs).collect()
+    assert len(got) == len(rows) and all(r.slot is not None for r in got)
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == sorted(i for i, *_ in rows)
+    # weights that are given: whole when asked for, and the part that holds the weights is where it was
+    strict = {r.doc_id: r.slot for r in mixing.schedule(docs, {"a": 1.0, "b": 1.0, "tiny": 1.0}).collect()}
+    whole = {r.doc_id: r.slot for r in mixing.schedule(docs, {"a": 1.0, "b": 1.0, "tiny": 1.0}, whole=True).collect()}
+    assert None in strict.values() and None not in whole.values()
+    assert all(whole[i] == s for i, s in strict.items() if s is not None)
+
+
+def test_empty_behind_full_block(spark):
+    docs = documents(spark, [(i, "x" * 100, "a") for i in range(5)] + [(10 + i, "", "a") for i in range(20)])
+    assert mixing.schedule(docs, block_chars=100).where("slot IS NULL").count() == 0
+
+
 def test_mix_odd(spark):
     d = odd(spark)
     got = mixing.schedule(d)
