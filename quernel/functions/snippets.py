@@ -97,7 +97,7 @@ def generate(text: str | None, terms: list[str], o: SnippetOptions = SnippetOpti
 
 
 def snippets(text: Column | str, terms: list[str], options: SnippetOptions = SnippetOptions()) -> Column:
-    """Snippets of each text, batch by batch; meant for the few rows that a search returns."""
+    """Snippets of each text, batch by batch."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

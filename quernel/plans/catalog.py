@@ -407,6 +407,11 @@ def snippets_short(spark, sf_dir):
     return short.select("doc_id", F.get(snippets.snippets("text", TERMS), F.lit(0)).alias("snippet"))
 
 
+@query
+def snippets_all(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", snippets.snippets("text", TERMS).alias("snippets"))
+
+
 @query
 def snippet_windows(spark, sf_dir):
     d = index.candidates(docs(spark, sf_dir), TERMS)

@@ -104,3 +104,44 @@ def slow_windows(text, terms, size, count):
 @given(st.text("ab '.", max_size=60), st.integers(1, 20), st.integers(1, 4))
 def test_windows_brute_force(text, size, count):
     assert snippets.windows(text, ["a", "b"], size, count) == slow_windows(text, ["a", "b"], size, count)
+
+
+def slow_snippets(text, terms, size=150, count=3):
+    import re
+
+    def word(i):
+        return re.fullmatch("[A-Za-z0-9']", text[i]) is not None
+
+    def mark(part):
+        return "".join(f"<mark>{x}</mark>" if x.lower() in terms else x for x in re.findall("[A-Za-z0-9']+|[^A-Za-z0-9']+", part))
+
+    if not text:
+        return []
+    if len(text) <= size:
+        return [mark(text)]
+    out, inside = [], [i for i in range(1, len(text)) if word(i) and word(i - 1)]
+    for a, b, _ in slow_windows(text, terms, size, count):
+        if a in inside:
+            a = next((i for i in range(a, len(text)) if word(i) and i not in inside), len(text))
+        while b in inside:
+            b += 1
+        out.append(("..." if a else "") + mark(text[a : b if a < b else a + 1]) + ("..." if b < len(text) else ""))
+    return out
+
+
+def test_snippets_all(spark, tmp_path):
+    import random
+
+    from quernel.plans import catalog
+
+    rng = random.Random(4)
+    vocabulary = ["thing", "Thing", "NICHT", "nicht", "things", "a", "don't", "größer", "filler", "x" * 40, "1985"]
+    texts = [None, "", "!?", "thing", "thing " * 100, "filler " * 60, "- " * 200, "w" * 400, "thing" + "y" * 300, "ü" * 149 + "nicht" + "z" * 9]
+    for n in range(60):
+        rare = rng.random() < 0.5
+        texts.append("".join(rng.choice(vocabulary[5 * rare :]) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(rng.randrange(1, 120))) + "nicht" * (n % 3 == 0))
+    rows = list(enumerate(texts)) + [(3, "again thing")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.snippets) for r in catalog.QUERIES["snippets_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, slow_snippets(t, ["thing", "nicht"])) for i, t in rows)
+    assert sum(len(x) > 1 for _, x in got) > 10 and sum(len(t or "") > 150 for t in texts) > 40
