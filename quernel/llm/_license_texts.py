@@ -1,4 +1,9 @@
-"""Licence texts and notices that license scans look for, by SPDX-like name."""
+"""Licence texts and notices that license scans look for, by SPDX-like name.
+
+Complete texts and headers are files of license_texts; "-start" names beginnings that documents may have alone.
+"""
+
+import os
 
 TEMPLATES = {
     "MIT": " ".join([
@@ -24,7 +29,7 @@ TEMPLATES = {
         "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER",
         "DEALINGS IN THE SOFTWARE.",
     ]),
-    "BSD-3-Clause": " ".join([
+    "BSD-3-Clause-start": " ".join([
         "Redistribution and use in source and binary forms, with",
         "or without modification, are permitted provided that the following",
         "conditions are met: Redistributions of source code must retain",
@@ -37,7 +42,7 @@ TEMPLATES = {
         "be used to endorse or promote products derived from",
         "this software without specific prior written permission.",
     ]),
-    "BSD-2-Clause": " ".join([
+    "BSD-2-Clause-start": " ".join([
         "Redistribution and use in source and binary forms, with",
         "or without modification, are permitted provided that the following",
         "conditions are met: Redistributions of source code must retain",
@@ -47,13 +52,13 @@ TEMPLATES = {
         "the following disclaimer in the documentation and/or other materials",
         "provided with the distribution.",
     ]),
-    "ISC": " ".join([
+    "ISC-start": " ".join([
         "Permission to use, copy, modify, and/or distribute this software",
         "for any purpose with or without fee is hereby",
         "granted, provided that the above copyright notice and this",
         "permission notice appear in all copies.",
     ]),
-    "Zlib": " ".join([
+    "Zlib-start": " ".join([
         "This software is provided as-is, without any express or",
         "implied warranty. In no event will the authors be",
         "held liable for any damages arising from the use",
@@ -61,7 +66,7 @@ TEMPLATES = {
         "use this software for any purpose, including commercial applications,",
         "and to alter it and redistribute it freely.",
     ]),
-    "Unlicense": " ".join([
+    "Unlicense-start": " ".join([
         "This is free and unencumbered software released into the",
         "public domain. Anyone is free to copy, modify, publish,",
         "use, compile, sell, or distribute this software, either in",
@@ -80,7 +85,7 @@ TEMPLATES = {
         "See the License for the specific language governing permissions",
         "and limitations under the License.",
     ]),
-    "GPL-3.0-header": " ".join([
+    "GPL-3.0-header-start": " ".join([
         "This program is free software: you can redistribute it",
         "and/or modify it under the terms of the GNU",
         "General Public License as published by the Free Software",
@@ -103,7 +108,18 @@ TEMPLATES = {
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+
+FOLDER = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+for _file in sorted(os.listdir(FOLDER)):
+    with open(os.path.join(FOLDER, _file), encoding="utf-8") as _f:
+        TEMPLATES[_file.removesuffix(".txt")] = _f.read()
+for _name in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+    TEMPLATES[f"{_name}-header-start"] = TEMPLATES[f"{_name}-header"].partition("PURPOSE.")[0] + "PURPOSE."

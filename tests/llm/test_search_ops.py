@@ -218,6 +218,16 @@ def test_license(spark):
     assert got == [(1, "MIT", 30, 30 + n), (2, "MIT", 0, n), (4, "MIT-notice", 1, 6), (4, "MIT-notice", 7, 12), (6, "MIT", 0, n)]
 
 
+def test_whole_license_texts(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    names += [f"{x}-header" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")] + [f"{x}-start" for x in ("BSD-2-Clause", "ISC", "Zlib", "Unlicense")]
+    ends = {"BSD-3-Clause": "SUCH DAMAGE.", "BSD-2-Clause": "SUCH DAMAGE.", "ISC": "THIS SOFTWARE.", "Zlib": "any source distribution.", "Unlicense": "unlicense.org/>", "GPL-3.0-header": "licenses/>."}
+    assert all(licenses.TEMPLATES[n].strip().endswith(e) for n, e in ends.items())
+    rows = [(k, f"{prose(k, 30)} {licenses.TEMPLATES[n]} {prose(k + 99, 30)}") for k, n in enumerate(names)]
+    got = [(r.doc_id, r.license, r.start_word, r.end_word) for r in licenses.scan(documents(spark, rows)).orderBy("doc_id", "start_word").collect()]
+    assert got == [(k, n, 30, 30 + len(split(licenses.TEMPLATES[n]))) for k, n in enumerate(names)]
+
+
 def test_license_odd(spark):
     assert licenses.scan(odd(spark)).count() == 0 and licenses.scan(odd(spark).limit(0)).count() == 0
     d = documents(spark, [(None, "Released under the MIT License.")] * 2)
