@@ -171,14 +171,17 @@ class Scanner:
         """The chain that covers most; overlapping matches are cut at their beginning."""
         best: list[tuple[int, int, tuple[int, int, int]]] = []
         top = 0
+        near: list[int] = []
         for i, (a, t, m) in enumerate(matches):
             score, back, piece = m, -1, (a, t, m)
-            for j in range(i - 1, max(-1, i - 400), -1):
+            near = [j for j in near if matches[j][0] + matches[j][2] >= a - self.gap]  # later matches start no earlier
+            for j in reversed(near):
                 c, u, k = matches[j]
                 cut = max(0, c + k - a, u + k - t)
                 if c < a and u < t and cut < m and a + cut - c - k <= self.gap and t + cut - u - k <= self.gap and best[j][0] + m - cut > score:
                     score, back, piece = best[j][0] + m - cut, j, (a + cut, t + cut, m - cut)
             best.append((score, back, piece))
+            near.append(i)
             if score > best[top][0]:
                 top = i
         out = []

@@ -228,6 +228,12 @@ def test_whole_license_texts(spark):
     assert got == [(k, n, 30, 30 + len(split(licenses.TEMPLATES[n]))) for k, n in enumerate(names)]
 
 
+def test_chain_over_many_matches():
+    scanner = licenses.Scanner({"x": "a b c"})
+    crowd = [(9, 1000 + 20 * i, 3) for i in range(600)]  # many places of one short match between two that belong together
+    assert scanner.chains([(0, 0, 10), *crowd, (11, 11, 10)], 24) == [(0, 21, 20)]
+
+
 def test_license_odd(spark):
     assert licenses.scan(odd(spark)).count() == 0 and licenses.scan(odd(spark).limit(0)).count() == 0
     d = documents(spark, [(None, "Released under the MIT License.")] * 2)
