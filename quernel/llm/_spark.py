@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,75 @@ def matching(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, ids.schema)), key)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and, in the column count, the number of rows that have it.
+
+    Rows of the keys that over a thousandth of all rows have stay where they are: there are at most 1,000 of these, so
+    they are sent to all tasks. The rest is joined by shuffling.
+    """
+    most = max(10_000, rows.count() // 1000)
+    hot = F.broadcast(keyed.where(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def triangles(member: DataFrame, cell: str, id: str, most: int) -> DataFrame:
+    """(id, cells: array of (cell, sub, bucket)) of distinct rows (cell, id): a cell of over most ids is cut into buckets, and each
+    two of its buckets make a sub-cell, so any two ids of a cell meet and no sub-cell is much larger than two buckets."""
+    many = member.groupBy(cell).agg(F.ceil(F.count("*") / most).alias("many"))
+    bucket = F.pmod(F.xxhash64(id), F.col("many"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("other")
+    member = member.join(many, cell).select(F.col(cell).alias("cell"), id, bucket.alias("bucket"), other)
+    sub = F.least("bucket", "other") * F.lit(1 << 24) + F.greatest("bucket", "other")
+    return member.groupBy(id).agg(F.collect_set(F.struct("cell", sub.alias("sub"), "bucket")).alias("cells"))
+
+
+class Meeting:
+    """Which pairs of a sub-cell of triangles() count in it: of all the cells that both are in the smallest is this one, and
+    pairs of one bucket belong to the sub-cell of that bucket alone."""
+
+    def __init__(self, key: tuple[int, int], bucket: np.ndarray, cells: list[list[int]]):
+        low, high = key[1] >> 24, key[1] & (1 << 24) - 1
+        self.bucket = bucket if low != high else None
+        names: dict[int, list[int]] = {}
+        for k, x in enumerate(cells):
+            for c in x:
+                if c < key[0]:
+                    names.setdefault(c, []).append(k)
+        names = {c: x for c, x in names.items() if len(x) > 1}
+        self.before = np.zeros((len(cells), len(names)), bool)
+        for k, x in enumerate(names.values()):
+            self.before[x, k] = True
+
+    def first(self, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs of i (a number, or as many as j) with each of j count here."""
+        ok = np.ones(len(j), bool)
+        if self.bucket is not None:
+            ok &= self.bucket[i] != self.bucket[j]
+        if not self.before.shape[1]:
+            return ok
+        if np.ndim(i) == 0:
+            return ok & ~self.before[np.ix_(j, np.flatnonzero(self.before[i]))].any(axis=1)
+        for at in range(0, len(j), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            ok[part] &= ~(self.before[i[part]] & self.before[j[part]]).any(axis=1)
+        return ok
+
+
+def connect(label: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Labels after i is connected to each of j: those that met get the smallest of them."""
+    seen = np.unique(np.append(label[j], label[i]))
+    return label if len(seen) == 1 else np.where(np.isin(label, seen), seen[0], label)
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:
     """What fit makes of the rows (doc_id, text, label), by doc_id and the first of each id: in one task, so the driver holds the model alone.
 
@@ -78,8 +148,8 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:
     return pickle.loads(made.model) if made else fit([])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (src LONG, dst LONG) as (node, comp), comp being the smallest id.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Connected components of (src LONG, dst LONG) as (node, comp), comp being the smallest id, and the scratch table that this needs.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges stay the same; each round
     is one written table, so the lineage stays short. Null ends and loops are ignored; no edges give no rows.
@@ -105,4 +175,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new_mark
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots), path

@@ -134,7 +134,7 @@ def _split(now: DataFrame, level: int, spill: float, seed: int) -> DataFrame:
 
 def groups(found: DataFrame) -> DataFrame:
     """Connected vectors of pairs() as (node, comp), comp being the smallest vec_id."""
-    return _spark.components(found.select(F.col("vec_a").alias("src"), F.col("vec_b").alias("dst")))
+    return _spark.components(found.select(F.col("vec_a").alias("src"), F.col("vec_b").alias("dst")))[0]
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have Jaccard similarity >= threshold, exactly.
+"""N-gram Jaccard join: documents whose sets of word n-grams have Jaccard similarity >= threshold, all of them.
 
 A T-occurrence search in which every document is a query. DivideSkip leaves a query's T - 1 longest inverted lists
 out of the merge (T: the overlap that the threshold requires), so a partner must occur in a short list:
@@ -6,29 +6,40 @@ out of the merge (T: the overlap that the threshold requires), so a partner must
 1. Divide: the length of every list is counted over the whole corpus. The longest are kept in a table of fixed size
    that only sets an order, so neither its size nor hash collisions change the result.
 2. Every document posts its |x| - T + SHORT shortest lists, front-coded in sorted blobs. Documents with equal sets post
-   as one. A merge task per range of n-grams counts in how many lists each pair meets that differs little enough in
-   size. What a pair shares apart from these lists is at most what either has in longer ones; if that can't fill up the
-   count to the overlap that sizes and threshold require, the pair is left out.
-3. Such pairs are routed to cells: a document goes to the cell of its partner's smallest partner, so groups of copies
-   meet in one place. In each cell divide_skip() merges the short lists of each query, probes the long ones by binary
-   search for what may still reach T, and retains the documents that reach the required overlap.
-
-Result of pairs(): doc_a < doc_b, overlap, jaccard. Documents with equal sets have equal partners, so the smallest
+   as one. A merge task takes a range of n-grams. In a list of up to CROWD documents it counts each pair that differs little
+   enough in size. What a pair shares apart from these lists is at most what either has in longer ones; if that can't fill
+   up the count to the overlap that sizes and threshold require, the pair is left out. A list of more documents isn't
+   multiplied out: each of its documents is linked to the list's smallest one, so what is shuffled stays in
+   proportion to the postings, however large a group of near copies is.
+3. Such pairs and links are routed to cells: a document goes to the cell of its partner's smallest partner, so those that
+   share a list or a counted pair meet in one place. In each cell divide_skip() merges the short lists of each query,
+   probes the long ones by binary search for what may still reach T, and retains the documents that reach the required
+   overlap. A cell of over CELL documents is a triangle of sub-cells. A pair that meets in several cells counts in one.
+
+Result of linked(): doc_id, class_id, links; a row for each document that is similar to any other. class_id is the smallest
+doc_id of the documents that are connected by similarity, links the number of documents that it is similar to, copies
+included. Cells give counts and spanning links, no pairs, so the result has at most as many rows as the input.
+pairs() lists them: doc_a < doc_b, overlap, jaccard. Documents with equal sets have equal partners, so the smallest
 doc_id of equal sets stands for all: it is paired with every copy (jaccard 1) and with the representatives of others.
 
 Words are lower-cased runs of letters and digits; a document of 1 to n-1 words has all of them as its only n-gram.
+N-grams are compared by 40 bits of a hash: two documents share one by chance with a probability of |x||y| / 2^40, so for a
+pair of 1,000 n-grams each one of a million has its overlap one too high. Sets are equal if their 64-bit hashes are.
+
 Null or empty texts and texts without words match nothing, and neither do rows whose doc_id is null. Rows with one
-doc_id and one text count once. Ties (a similarity equal to the threshold) are in. Extra columns are ignored; an
-empty table gives an empty result.
+doc_id and one text count once; of a doc_id with several texts the links of all are added up, and their classes are one. Ties
+(a similarity equal to the threshold) are in. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +49,11 @@ N, THRESHOLD = 3, 0.5
 #: Bits of an n-gram's hash, grams that are sorted at once, documents of a cell, list lengths that are kept.
 BITS, FLUSH, CELL, KEPT = 40, 2 << 20, 4000, 1 << 18
 SHORT = 3
+#: Documents of a list whose pairs are counted.
+CROWD = 32
+#: Characters of the corpus for each merge task.
+PART_CHARS = 32 << 20
+CELLS = ["cell", "sub", "bucket", "cells", "doc_id", "sid", "copies", "grams"]
 _MASK = np.uint64((1 << BITS) - 1)
 _U = np.uint64
 
@@ -167,23 +183,24 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
     return table
 
 
-def divide_skip(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
-    """Pairs (i < j, overlap) of sorted sets whose Jaccard similarity reaches the threshold, by T-occurrence search."""
+def divide_skip(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of some sorted sets (i) those behind it (j > i) whose Jaccard similarity reaches the threshold, and the overlaps: a T-occurrence search."""
     size = np.array([len(x) for x in sets])
     if len(sets) == 2:
         o = _overlap(*sets)
-        return [(0, 1, o)] if o >= threshold * (size.sum() - o) - 1e-9 else []
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        if o >= threshold * (size.sum() - o) - 1e-9:
+            yield 0, np.array([1]), np.array([o])
+        return
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
     order = np.argsort(values, kind="stable")  # owners ascend within each list
     values, owner = values[order], owner[order]
     start = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     length = np.diff(np.append(start, len(values)))
-    lists = np.repeat(np.arange(len(start)), length)  # the list of each posting
-    back = np.argsort(order, kind="stable")  # where the postings of each set are
+    lists = np.empty(len(values), np.int64)  # the list of each posting, where the set has it
+    lists[order] = np.repeat(np.arange(len(start)), length)
     ends = np.cumsum(size)
-    out = []
     for i in range(len(sets)):
-        mine = lists[back[ends[i] - size[i] : ends[i]]]
+        mine = lists[ends[i] - size[i] : ends[i]]
         mine = mine[length[mine] > 1]
         least = math.ceil(threshold * size[i] - 1e-9)
         if len(mine) < least:
@@ -207,8 +224,8 @@ def divide_skip(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int
             if k % 16 == 15:
                 cand = cand[times[cand] + (skip - k - 1) >= need[cand]]
         cand = cand[times[cand] >= need[cand]]
-        out += [(i, int(j), int(times[j])) for j in cand]
-    return out
+        if len(cand):
+            yield i, cand, times[cand]
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -218,25 +235,31 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(p, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of docs (doc_id, text) at or over the threshold; see the module for the result."""
+def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows (doc_id, sid, size) of all documents with n-grams; the sets that may have partners, as rows (cell, sub, bucket, cells,
+    doc_id, sid, copies, grams) by cell and sub in one partition; and the scratch tables that these need."""
     if n < 1 or not 0 < threshold <= 1:
         raise ValueError("n must be at least 1 and threshold in (0, 1]")
     spark = _spark.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    parts = max(4, -(-(docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // PART_CHARS))
     classes = spark.sparkContext.broadcast(list_lengths(docs, n, parts))
 
     def post(batches):
         keys, sids, sizes, held, count = [], [], [], 0, 0
 
         def flush():
-            x, table = np.concatenate(keys), np.concatenate(sids)
-            docs_part = planes(table, 8) + planes(np.concatenate(sizes), 4)
+            x, table, length = np.concatenate(keys), np.concatenate(sids), np.concatenate(sizes)
             x.sort()
             edges = cuts(x >> _U(24), parts, BITS)
-            rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-            blobs = [pack(planes(np.diff(x[a:b] >> _U(24), prepend=_U(0)), 5) + planes(x[a:b] & _U(0xFFFFFF), 3) + docs_part, b - a, len(table)) for _, a, b in rows]
+            rows, blobs = [], []
+            for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if b > a:  # a blob has the documents of its own postings
+                    who, at = np.unique(x[a:b] & _U(0xFFFFFF), return_inverse=True)
+                    body = planes(np.diff(x[a:b] >> _U(24), prepend=_U(0)), 5) + planes(at.astype(np.uint64), 3)
+                    who = who.astype(np.int64)
+                    rows.append((p, a, b))
+                    blobs.append(pack(body + planes(table[who], 8) + planes(length[who], 4), b - a, len(who)))
             m = len(rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _, _ in rows], pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(m, pa.int64())] * 3], names
@@ -272,6 +295,10 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
         if count:
             yield flush()
 
+    def links(a, b, times, need):
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none if times is None else pa.array(times), none if need is None else pa.array(need)], ["a", "b", "times", "need"])
+
     def meet(batches):
         by: dict[int, list[bytes]] = {}
         for b in batches:
@@ -287,7 +314,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
                 sids.append(unplanes(body, d, 8, 8 * k))
                 sizes.append(unplanes(body, d, 4, 8 * k + 8 * d))
                 base += d
-            sids, at, inverse = np.unique(np.concatenate(sids), return_index=True, return_inverse=True)
+            sids, at, inverse = np.unique(np.concatenate(sids).view(np.int64), return_index=True, return_inverse=True)
             sizes = np.concatenate(sizes)[at].astype(np.int64)
             g, who = np.concatenate(grams), inverse[np.concatenate(who).astype(np.int64)]
             order = np.argsort(g, kind="stable")
@@ -299,6 +326,15 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
             g, who = g[order], who[order]
             once = np.append(True, (g[1:] != g[:-1]) | (who[1:] != who[:-1]))[: len(g)]
             g, who = g[once], who[once]
+            start = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+            length = np.diff(np.append(start, len(g)))
+            crowd = np.repeat(length > CROWD, length)
+            if crowd.any():  # sids ascend, so the smallest number is that of the smallest sid
+                big = length > CROWD
+                first = np.repeat(np.minimum.reduceat(who, start)[big], length[big])
+                x = np.unique((first.astype(np.uint64) << _U(32)) | who[crowd].astype(np.uint64))
+                yield links(sids[(x >> _U(32)).astype(np.int64)], sids[(x & _U(0xFFFFFFFF)).astype(np.int64)], None, None)
+                g, who = g[~crowd], who[~crowd]
             size = sizes[who]
             found, times, live, step, pending = [], [], np.arange(len(g)), 1, 0
             while len(live):
@@ -318,106 +354,157 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
             i, j = (x >> _U(32)).astype(np.int64), (x & _U(0xFFFFFFFF)).astype(np.int64)
             most = np.maximum(sizes - prefix_sizes(sizes, threshold), 0)  # in longer lists
             need = np.ceil(threshold / (1 + threshold) * (sizes[i] + sizes[j]) - 1e-9).astype(np.int64) - np.maximum(most[i], most[j])
-            a, b = sids[i].view(np.int64), sids[j].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int64)), pa.array(need)], ["a", "b", "times", "need"])
+            a, b = sids[i], sids[j]
+            yield links(np.minimum(a, b), np.maximum(a, b), n.astype(np.int64), need)
 
     def carry(batches):
         for b in batches:
             wanted = b.column(2).to_numpy().view(np.uint64)
-            cells = b.column(3).to_pylist()
+            ids, copies, cells = b.column(0).to_numpy(), b.column(3).to_numpy(), b.column(4)
             for w in _text.words(b.column(1)):
                 key, first = gram_sets(w, n)
                 sid = set_ids(key, first)
-                rows = [(c, r) for r in np.flatnonzero(sid == wanted[w.lo : w.hi]).tolist() for c in cells[w.lo + r]]
-                if rows:
-                    blob = {r: planes(key[first[r] : first[r + 1]] & _MASK, 5) for _, r in rows}
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([c["cell"] for c, _ in rows], pa.int64()),
-                            pa.array([c["sub"] for c, _ in rows], pa.int64()),
-                            pa.array(sid[[r for _, r in rows]].view(np.int64)),
-                            pa.array([blob[r] for _, r in rows], pa.binary()),
-                        ],
-                        ["cell", "sub", "sid", "grams"],
-                    )
-
-    def search(batches):
-        now, sids, sets = None, [], []
+                own = np.flatnonzero(sid == wanted[w.lo : w.hi])
+                if not len(own):
+                    continue
+                lists = cells.take(pa.array(w.lo + own))
+                row, cell = own[pc.list_parent_indices(lists).to_numpy()], lists.flatten()
+                # the cells of a row go with each copy of it, as the place of a pair is the least that both have
+                every = pa.array([sorted({c["cell"] for c in x}) for x in lists.to_pylist()], pa.list_(pa.int64()))
+                blob = [planes(key[first[r] : first[r + 1]] & _MASK, 5) for r in own]
+                back = pc.list_parent_indices(lists)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pc.struct_field(cell, "cell"),
+                        pc.struct_field(cell, "sub"),
+                        pc.struct_field(cell, "bucket"),
+                        every.take(back),
+                        pa.array(ids[w.lo + row]),
+                        pa.array(sid[row].view(np.int64)),
+                        pa.array(copies[w.lo + row]),
+                        pa.array(blob, pa.binary()).take(back),
+                    ],
+                    CELLS,
+                )
+
+    posted, posted_path = _spark.cut(docs.mapInArrow(_text.tidy(post), "part int, blob binary, doc_id long, sid long, size long"), "postings")
+    met = posted.where("part IS NOT NULL").select("part", "blob").repartitionById(parts, F.col("part")).mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"), F.max(F.col("need").isNull()).alias("crowd"))
+    met, met_path = _spark.cut(met.where("a <> b AND (crowd OR times >= need)").select("a", "b"), "met")
+    known, known_path = _spark.cut(posted.where("part IS NULL").select("doc_id", "sid", "size").distinct(), "sets")
+    _spark.drop(spark, posted_path)
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+    lowest = met.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "a")
+    cell = met.join(lowest, "a", "left").select(F.coalesce("low", "a").alias("cell"), "a", "b")
+    member = cell.select("cell", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    cells = _spark.triangles(member, "cell", "sid", CELL)
+    wanted = first.join(cells, "sid").select("doc_id", "sid", "copies", "cells")
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "copies", "cells")
+    sets = sets.mapInArrow(_text.tidy(carry), "cell long, sub long, bucket long, cells array<long>, doc_id long, sid long, copies long, grams binary")
+    return known, sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid"), [met_path, known_path]
+
+
+def _search(sets: DataFrame, threshold: float, as_pairs: bool) -> DataFrame:
+    """divide_skip() in every cell: pairs of doc_ids, or for each document its links and a smaller one that it is connected to."""
+
+    def run(batches):
+        now, rows, sets = None, [], []
 
         def done():
             if len(sets) < 2:
                 return
-            found = divide_skip(sets, threshold)
-            if found:
-                i, j, o = np.array(found, np.int64).T
-                s, z = np.array(sids, np.int64), np.array([len(x) for x in sets])
-                a, b = s[i], s[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(o), pa.array(o / (z[i] + z[j] - o))], ["a", "b", "overlap", "jaccard"])
+            bucket, cells, ids, own, copies = (list(x) for x in zip(*rows))
+            ids, own, copies = np.array(ids), np.array(own), np.array(copies)
+            here = _spark.Meeting(now, np.array(bucket), cells)
+            size = np.array([len(x) for x in sets])
+            if as_pairs:
+                for i, j, o in divide_skip(sets, threshold):
+                    ok = here.first(i, j)
+                    j, o = j[ok], o[ok]
+                    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(o), pa.array(o / (size[i] + size[j] - o))], ["doc_a", "doc_b", "overlap", "jaccard"])
+                return
+            links, label = np.zeros(len(ids), np.int64), np.argsort(np.argsort(ids))  # the smallest doc_id has the smallest label
+            for i, j, _ in divide_skip(sets, threshold):
+                label = _spark.connect(label, i, j)
+                j = j[here.first(i, j)]
+                links[i] += copies[j].sum()
+                links[j] += copies[i]
+            root = np.sort(ids)[label]
+            use = np.flatnonzero((links > 0) | (root != ids))
+            yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(ids[use]), pa.array(links[use]), pa.array(root[use])], ["sid", "doc_id", "links", "root"])
 
         for b in batches:
-            for cell, sub, sid, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for cell, sub, bucket, cells, doc, sid, copies, blob in zip(*(b.column(k).to_pylist() for k in range(8))):
                 if (cell, sub) != now:
                     yield from done()
-                    now, sids, sets = (cell, sub), [], []
-                if not sids or sids[-1] != sid:
-                    sids.append(sid)
+                    now, rows, sets, last = (cell, sub), [], [], None
+                if sid != last:
+                    last = sid
+                    rows.append((bucket, cells, doc, sid, copies))
                     sets.append(unplanes(blob, len(blob) // 5, 5, 0))
         yield from done()
 
-    posted, posted_path = _spark.cut(docs.mapInArrow(_text.tidy(post), "part int, blob binary, doc_id long, sid long, size long"), "postings")
-    met = posted.where("part IS NOT NULL").select("part", "blob").repartitionById(parts, F.col("part")).mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
-    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
-    met, met_path = _spark.cut(met, "met")
-    known = posted.where("part IS NULL").select("doc_id", "sid", "size").distinct()
-    known, known_path = _spark.cut(known, "sets")
-    _spark.drop(spark, posted_path)
-    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-
-    lowest = met.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "a")
-    cell = met.join(lowest, "a", "left").select(F.coalesce("low", "a").alias("cell"), "a", "b")
-    member = cell.select("cell", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    many = member.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("many"))
-    # a cell of too many documents is a triangle of smaller ones: sub-cells of two of its buckets
-    bucket = F.pmod(F.xxhash64("sid"), F.col("many"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("other")
-    member = member.join(many, "cell").select("cell", "sid", bucket.alias("bucket"), other)
-    sub = F.least("bucket", "other") * F.lit(1 << 20) + F.greatest("bucket", "other")
-    cells = member.groupBy("sid").agg(F.collect_set(F.struct("cell", sub.alias("sub"))).alias("cells"))
-    wanted = first.join(cells, "sid").select("doc_id", "sid", "cells")
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "cells").mapInArrow(_text.tidy(carry), "cell long, sub long, sid long, grams binary")
-    found = sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid").mapInArrow(_text.tidy(search), "a long, b long, overlap long, jaccard double")
-    found, _ = _spark.cut(found.distinct(), "similar")
-    _spark.drop(spark, met_path)
-
-    low, high = first.withColumnsRenamed({"sid": "a", "doc_id": "x"}), first.withColumnsRenamed({"sid": "b", "doc_id": "y"})
-    across = found.join(low, "a").join(high, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "jaccard")
-    equal = known.join(first.withColumnRenamed("doc_id", "doc_a"), "sid").where("doc_id > doc_a")
-    copies = equal.select("doc_a", F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(copies)
+    return sets.mapInArrow(_text.tidy(run), "doc_a long, doc_b long, overlap long, jaccard double" if as_pairs else "sid long, doc_id long, links long, root long")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Class and number of links of each document of docs (doc_id, text) that has any; see the module for the result."""
+    spark = docs.sparkSession
+    known, sets, paths = _cells(docs, n, threshold)
+    found, path = _spark.cut(_search(sets, threshold, False), "links")
+    _spark.drop(spark, paths[0])
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # a doc_id with several sets connects them
+    several = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    several = known.join(several, "doc_id").join(first.select("sid", F.col("doc_id").alias("root")), "sid").select("doc_id", "root")
+    edges = found.select("doc_id", "root").unionByName(several)
+    comp, comp_path = _spark.components(edges.select(F.col("doc_id").alias("src"), F.col("root").alias("dst")))
+    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    sets = first.join(links, "sid", "left").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    sets = sets.select("sid", "copies", F.coalesce("comp", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    sets, sets_path = _spark.cut(sets, "classes")
+    out = _spark.spread_join(known.select("doc_id", "sid"), sets, "sid", "copies")
+    out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    out, _ = _spark.cut(out, "linked")
+    for p in (paths[1], path, comp_path, sets_path):
+        _spark.drop(spark, p)
+    return out
 
 
-def groups(found: DataFrame) -> DataFrame:
-    """Connected documents of pairs() as (node, comp), comp being the smallest doc_id."""
-    return _spark.components(found.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")))
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of docs (doc_id, text) at or over the threshold; see the module for the result."""
+    known, sets, _ = _cells(docs, n, threshold)
+    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_a"))
+    equal = known.join(first, "sid").where("doc_id > doc_a")
+    copies = equal.select("doc_a", F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    return _search(sets, threshold, True).where("doc_a <> doc_b").unionByName(copies)
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs but for those whose doc_id is in a group and not its smallest; rows with a null doc_id stay."""
-    gone = groups(pairs(docs, n, threshold)).where("node <> comp").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs but for those whose doc_id is in a class and not its smallest; rows with a null doc_id stay, and so do all columns, whatever their names."""
+    gone = _spark.fresh(docs, "gone")
+    out = linked(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+    return docs.join(out, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 SQL_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
 
 SQL = rf"""
-WITH w AS (SELECT DISTINCT doc_id, {SQL_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, {SQL_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END)) AS g FROM w WHERE len(ws) > 0),
 r AS (SELECT min(doc_id) AS doc_id, g, len(g) AS n FROM s GROUP BY g),
 p AS (SELECT doc_id, n, unnest(g) AS x FROM r),
 o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS overlap
-  FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 2 * a.n >= b.n AND 2 * b.n >= a.n GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard FROM o WHERE 2 * overlap >= na + nb - overlap
-UNION ALL
-SELECT r.doc_id, s.doc_id, r.n, 1.0 FROM s JOIN r ON s.g = r.g AND s.doc_id > r.doc_id
+  FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 2 * a.n >= b.n AND 2 * b.n >= a.n GROUP BY ALL),
+k AS (SELECT g, count(*) AS copies FROM s GROUP BY g),
+c AS (SELECT r.doc_id, copies, r.g FROM r JOIN k ON r.g = k.g),
+l AS (SELECT doc_a, doc_b FROM o WHERE 2 * overlap >= na + nb - overlap),
+b AS (SELECT doc_a AS x, doc_b AS y FROM l UNION ALL SELECT doc_b, doc_a FROM l),
+d AS (SELECT c.doc_id, c.g, c.copies - 1 + coalesce(sum(p.copies), 0) AS links FROM c LEFT JOIN b ON b.x = c.doc_id LEFT JOIN c p ON p.doc_id = b.y GROUP BY ALL),
+t AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT t.x, b.y FROM t JOIN b ON t.y = b.x),
+m AS (SELECT x, min(y) AS class_id FROM t GROUP BY x)
+SELECT s.doc_id, class_id, links::BIGINT AS links FROM s JOIN d ON s.g = d.g JOIN m ON m.x = d.doc_id WHERE links > 0
 """

@@ -54,6 +54,33 @@ def slow_pairs(rows, n=3, t=0.5):
     return out
 
 
+def slow_links(rows, n=3, t=0.5):
+    """doc_id: (class_id, links) by comparing all texts."""
+    sets = {}
+    for i, text in rows:
+        w = split(text)
+        if i is not None and w:
+            sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])} for i in sets}
+    out = {}
+    for i in sorted(near):
+        if near[i] and i not in out:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if j not in out:
+                    out[j] = (i, len(near[j]))
+                    todo += near[j]
+    return out
+
+
+def linked(spark, rows):
+    got = ngram_join.linked(documents(spark, rows)).collect()
+    out = {r.doc_id: (r.class_id, r.links) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
 def test_join(spark):
     rng = random.Random(3)
     rows = []
@@ -66,6 +93,7 @@ def test_join(spark):
     got = ngram_join.pairs(documents(spark, rows)).collect()
     assert {(r.doc_a, r.doc_b, r.overlap, r.jaccard) for r in got} == slow_pairs(rows)
     assert len(got) == len(slow_pairs(rows)) > 50
+    assert linked(spark, rows) == slow_links(rows)
 
 
 @settings(max_examples=40, deadline=None)
@@ -73,13 +101,14 @@ def test_join(spark):
 def test_divide_skip(sets, t):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     want = {(i, j, len(sets[i] & sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9}
-    assert set(ngram_join.divide_skip(arrays, t)) == want
+    assert {(i, int(b), int(o)) for i, j, k in ngram_join.divide_skip(arrays, t) for b, o in zip(j, k)} == want
 
 
 def test_join_odd(spark):
     got = ngram_join.pairs(odd(spark)).collect()
     assert got == []  # equal rows of one id are one document
     assert ngram_join.pairs(odd(spark).limit(0)).count() == 0
+    assert ngram_join.linked(odd(spark)).count() == 0 and ngram_join.linked(odd(spark).limit(0)).count() == 0
     assert ngram_join.keep_one(odd(spark)).count() == odd(spark).count()
     with pytest.raises(ValueError):
         ngram_join.pairs(odd(spark), threshold=0)
@@ -87,10 +116,29 @@ def test_join_odd(spark):
 
 def test_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", 5)
-    rng, base = random.Random(5), prose(7, 60)
-    rows = [(k, edited(rng, base, 2)) for k in range(23)]
-    got = ngram_join.pairs(documents(spark, rows)).collect()
-    assert {(r.doc_a, r.doc_b, r.overlap, r.jaccard) for r in got} == slow_pairs(rows)
+    rng, base, other = random.Random(5), prose(7, 60), prose(8, 60)
+    rows = [(k, edited(rng, base, 2)) for k in range(23)] + [(k, edited(rng, other, rng.randrange(9))) for k in range(30, 50)]
+    rows += [(k + 100, t) for k, t in rows[:30:3]]
+    for crowd in (32, 2):
+        monkeypatch.setattr(ngram_join, "CROWD", crowd)
+        got = ngram_join.pairs(documents(spark, rows)).collect()
+        assert {(r.doc_a, r.doc_b, r.overlap, r.jaccard) for r in got} == slow_pairs(rows)
+        assert len(got) == len(slow_pairs(rows))
+        assert linked(spark, rows) == slow_links(rows)
+
+
+def test_several_texts_of_an_id(spark):
+    a, b = prose(1, 50), prose(2, 50)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, prose(3, 50))]
+    got = {(r.doc_id, r.class_id, r.links) for r in ngram_join.linked(documents(spark, rows)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_hot_set(spark, monkeypatch):
+    """More copies than spread_join sends through a shuffle."""
+    known = spark.range(30_000).selectExpr("id", "if(id < 20000, 1, id) AS k")
+    keyed = known.groupBy("k").count()
+    assert _spark.spread_join(known, keyed, "k", "count").agg({"count": "sum", "id": "count"}).first()["count(id)"] == 30_000
 
 
 def test_keep_one(spark):
@@ -101,8 +149,8 @@ def test_keep_one(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 5), (5, 5), (None, 1), (9, 8), (8, 7)], "src long, dst long")
-    assert {(r.node, r.comp) for r in _spark.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (8, 5), (9, 5)}
-    assert _spark.components(e.limit(0)).count() == 0
+    assert {(r.node, r.comp) for r in _spark.components(e)[0].collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (8, 5), (9, 5)}
+    assert _spark.components(e.limit(0))[0].count() == 0
 
 
 # suffix dedup
