@@ -503,7 +503,7 @@ k AS (SELECT g, count(*) AS copies FROM s GROUP BY g),
 c AS (SELECT r.doc_id, copies, r.g FROM r JOIN k ON r.g = k.g),
 l AS (SELECT doc_a, doc_b FROM o WHERE 2 * overlap >= na + nb - overlap),
 b AS (SELECT doc_a AS x, doc_b AS y FROM l UNION ALL SELECT doc_b, doc_a FROM l),
-d AS (SELECT c.doc_id, c.g, c.copies - 1 + coalesce(sum(p.copies), 0) AS links FROM c LEFT JOIN b ON b.x = c.doc_id LEFT JOIN c p ON p.doc_id = b.y GROUP BY ALL),
+d AS (SELECT c.doc_id, c.g, c.copies - 1 + coalesce(sum(p.copies), 0) AS links FROM c LEFT JOIN b ON b.x = c.doc_id LEFT JOIN c p ON p.doc_id = b.y GROUP BY c.doc_id, c.g, c.copies),
 t AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT t.x, b.y FROM t JOIN b ON t.y = b.x),
 m AS (SELECT x, min(y) AS class_id FROM t GROUP BY x)
 SELECT s.doc_id, class_id, links::BIGINT AS links FROM s JOIN d ON s.g = d.g JOIN m ON m.x = d.doc_id WHERE links > 0
