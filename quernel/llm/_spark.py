@@ -125,10 +125,44 @@ class Meeting:
         return ok
 
 
-def connect(label: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Labels after i is connected to each of j: those that met get the smallest of them."""
-    seen = np.unique(np.append(label[j], label[i]))
-    return label if len(seen) == 1 else np.where(np.isin(label, seen), seen[0], label)
+def connect(label: np.ndarray, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after i (a number, or as many as j) is connected to each of j: those that met get the smallest of them."""
+    if np.ndim(i) == 0:
+        seen = np.unique(np.append(label[j], label[i]))
+        return label if len(seen) == 1 else np.where(np.isin(label, seen), seen[0], label)
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        at = np.arange(len(label))  # where each label goes
+        np.minimum.at(at, np.maximum(a, b), np.minimum(a, b))
+        while (at != at[at]).any():
+            at = at[at]
+        label = at[label]
+
+
+def classes(known: DataFrame, found: DataFrame, id: str) -> DataFrame:
+    """(id, class_id, links) of the rows that are linked to others, each id once.
+
+    known: distinct (id, sid); rows of one sid are copies of each other. found: (sid, id, links, root), the id being the sid's smallest,
+    root an id that it is connected to; links of one sid add up. The copies of a row count among its links. A hot sid is
+    joined where its rows are.
+    """
+    first = known.groupBy("sid").agg(F.min(id).alias(id), F.count("*").alias("copies"))
+    # an id with several sids connects them
+    several = known.groupBy(id).agg(F.count("*").alias("k")).where("k > 1").select(id)
+    several = known.join(several, id).join(first.select("sid", F.col(id).alias("root")), "sid").select(id, "root")
+    edges = found.select(id, "root").unionByName(several)
+    comp, comp_path = components(edges.select(F.col(id).alias("src"), F.col("root").alias("dst")))
+    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    sets = first.join(links, "sid", "left").join(comp.withColumnRenamed("node", id), id, "left")
+    sets = sets.select("sid", "copies", F.coalesce("comp", id).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    sets, path = cut(sets, "classes")
+    out = spread_join(known.select(id, "sid"), sets, "sid", "copies")
+    out, _ = cut(out.groupBy(id).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links")), "linked")
+    drop(known.sparkSession, comp_path)
+    drop(known.sparkSession, path)
+    return out
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:

@@ -455,20 +455,8 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
     known, sets, paths = _cells(docs, n, threshold)
     found, path = _spark.cut(_search(sets, threshold, False), "links")
     _spark.drop(spark, paths[0])
-    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    # a doc_id with several sets connects them
-    several = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    several = known.join(several, "doc_id").join(first.select("sid", F.col("doc_id").alias("root")), "sid").select("doc_id", "root")
-    edges = found.select("doc_id", "root").unionByName(several)
-    comp, comp_path = _spark.components(edges.select(F.col("doc_id").alias("src"), F.col("root").alias("dst")))
-    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    sets = first.join(links, "sid", "left").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    sets = sets.select("sid", "copies", F.coalesce("comp", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
-    sets, sets_path = _spark.cut(sets, "classes")
-    out = _spark.spread_join(known.select("doc_id", "sid"), sets, "sid", "copies")
-    out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
-    out, _ = _spark.cut(out, "linked")
-    for p in (paths[1], path, comp_path, sets_path):
+    out = _spark.classes(known, found, "doc_id")
+    for p in (paths[1], path):
         _spark.drop(spark, p)
     return out
 

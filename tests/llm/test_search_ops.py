@@ -317,41 +317,61 @@ def slow_near(x, t):
     return set(zip(i.tolist(), j.tolist()))
 
 
+def near_classes(want, n):
+    """vec_id: (class_id, links) of pairs."""
+    near = [set() for _ in range(n)]
+    for i, j in want:
+        near[i].add(j)
+        near[j].add(i)
+    out = {}
+    for i in range(n):
+        todo = [i] if near[i] and i not in out else []
+        while todo:
+            j = todo.pop()
+            if j not in out:
+                out[j] = (i, len(near[j]))
+                todo += near[j]
+    return out
+
+
+def embeddings(spark, x):
+    return spark.createDataFrame([(i, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+
+
 def test_embeddings(spark, monkeypatch):
     x = vectors()
-    v = spark.createDataFrame([(i, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    want = slow_near(x, 0.9)
-    whole = {(r.vec_a, r.vec_b) for r in embedding_dedup.pairs(v).collect()}
-    assert whole == want
-    monkeypatch.setattr(embedding_dedup, "NODE", 150)
-    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.pairs(v, leaf=60).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) > 100
-    grouped = embedding_dedup.dedup(v).collect()
-    assert len(grouped) == len(want) and all(r.group_id <= r.vec_a for r in grouped)
+    v, want = embeddings(spark, x), slow_near(x, 0.9)
+    assert {(r.vec_a, r.vec_b) for r in embedding_dedup.pairs(v).collect()} == want
+    assert {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.dedup(v).collect()} == near_classes(want, len(x))
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 100)  # so that nodes are split in several rounds
+    got = [(r.vec_a, r.vec_b) for r in embedding_dedup.pairs(v, leaf=20).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want) > 100
+    assert {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.dedup(v, leaf=20).collect()} == near_classes(got, len(x))
+
+
+def test_embeddings_that_cannot_be_split(spark, monkeypatch):
+    """A group of near copies with equal projections of most, larger than what is compared as a whole."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 16)
+    x = np.tile([1.0, 2.0, 3.0, 4.0], (90, 1))
+    x[:, 0] += np.arange(90) * 1e-15
+    x = np.concatenate([x, [[1.0, 2.0, 3.0, 4.5], [-1.0, 0.0, 0.0, 0.0]]])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.dedup(v, leaf=8).collect()} == {i: (0, 90) for i in range(91)}
 
 
 def test_embeddings_sql(spark):
     import duckdb
 
     x = np.concatenate([vectors(200), vectors(200)[:7] * 1.0])
-    v = spark.createDataFrame([(i, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    c = duckdb.connect()
+    v, c = embeddings(spark, x), duckdb.connect()
     c.register("embeddings", v.toArrow())
-    want = {(a, b, round(s, 5), g) for a, b, s, g in c.sql(embedding_dedup.SQL).fetchall()}
-    assert {(r.vec_a, r.vec_b, round(r.similarity, 5), r.group_id) for r in embedding_dedup.dedup(v).collect()} == want and len(want) > 100
+    want = set(c.sql(embedding_dedup.SQL).fetchall())
+    assert {(r.vec_id, r.class_id, r.links) for r in embedding_dedup.dedup(v).select("vec_id", "class_id", "links").collect()} == want and len(want) > 100
 
 
 def test_embeddings_odd(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 0.0]), (6, []), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'c' AS norm", "'c' AS tree", "'c' AS x")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 0.0]), (6, []), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, 1.0]), (11, [float("inf"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'c' AS norm", "'c' AS tree", "'c' AS x", "'c' AS sid", "'c' AS cell", "'c' AS copies")
     assert {(r.vec_a, r.vec_b, r.similarity) for r in embedding_dedup.pairs(v).collect()} == {(1, 2, 1.0), (1, 3, 1.0)}
+    assert {(r.vec_id, r.class_id, r.links) for r in embedding_dedup.dedup(v).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
     assert embedding_dedup.dedup(v.limit(0)).count() == 0
-
-
-def test_leaf_of_equals():
-    x = np.tile([[1.0, 0.0]], (30, 1))
-    assert len(embedding_dedup.leaf_pairs(x, 0.9, 8, 0.05, 1)) == 30 * 29 // 2
-
-
-def test_namespace_rows():
-    assert decontaminate.Index([SimpleNamespace(item_id=1, text="a b")]).leaks(next(_text.words(pa.array(["a b"])))) == []
