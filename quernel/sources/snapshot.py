@@ -1,15 +1,20 @@
-"""Snapshots: docs and postings as Parquet under one folder, and a manifest written last, without which nothing is read.
+"""Snapshots: docs and postings as Parquet under one folder, and a manifest that names them, without which nothing is read.
 
-Postings keep all positions, so loading gives back what was saved. Caches, fuzzy vocabulary and rankers aren't part of it.
+Each save writes tables of its own beside those of the one before, then the manifest under another name, and renames it.
+Until then the old snapshot stays whole, so an engine may save to where it was loaded from, and a save that breaks off changes
+nothing. Tables of older saves go afterwards, but for those that the saved frames read. Postings keep all positions, so
+loading gives back what was saved. Caches, fuzzy vocabulary and rankers aren't part of it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT, VERSION = "quernel-index", 1
+FORMAT, VERSION = "quernel-index", 2
+MANIFEST = "format string, version int, tables string, next_id long, documents long, terms long"
 
 
 class SnapshotError(ValueError):
@@ -26,26 +31,34 @@ class Snapshot:
 
 
 def save(path: str, docs: DataFrame, postings: DataFrame, next_id: int = 1) -> None:
-    """Writes a snapshot, in place of an older one: its manifest goes first and comes back last."""
+    """Writes a snapshot, in place of an older one."""
     spark = docs.sparkSession
     fs, p = _fs(spark, path)
-    fs.delete(p(f"{path}/manifest"), True)
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    name = f"tables-{uuid.uuid4().hex}"
+    inputs = [*docs.inputFiles(), *postings.inputFiles()]
+    docs.write.parquet(f"{path}/{name}/docs")
     # by term, so that a term's rows are in few row groups, whose statistics a filter skips by
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    back = spark.read.parquet(f"{path}/postings")
-    row = (FORMAT, VERSION, next_id, spark.read.parquet(f"{path}/docs").count(), back.select("term").distinct().count())
-    spark.createDataFrame([row], "format string, version int, next_id long, documents long, terms long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/{name}/postings")
+    back = spark.read.parquet(f"{path}/{name}/postings")
+    row = (FORMAT, VERSION, name, next_id, spark.read.parquet(f"{path}/{name}/docs").count(), back.select("term").distinct().count())
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.json(f"{path}/{name}/manifest")
+    fs.delete(p(f"{path}/manifest"), True)
+    if not fs.rename(p(f"{path}/{name}/manifest"), p(f"{path}/manifest")):
+        raise SnapshotError(f"the manifest can't be put at {path}")
+    for old in fs.listStatus(p(path)):
+        table = old.getPath().getName()
+        if table.startswith("tables-") and table != name and not any(f"/{table}/" in x for x in inputs):
+            fs.delete(old.getPath(), True)
 
 
 def load(spark: SparkSession, path: str) -> Snapshot:
     fs, p = _fs(spark, path)
     if not fs.exists(p(f"{path}/manifest/_SUCCESS")):
         raise SnapshotError(f"no snapshot at {path}")
-    m = spark.read.schema("format string, version int, next_id long, documents long, terms long").json(f"{path}/manifest").first()
+    m = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
     if m is None or m.format != FORMAT or m.version != VERSION:
         raise SnapshotError(f"not a snapshot of version {VERSION}: {path}")
-    return Snapshot(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), m.next_id, m.documents, m.terms)
+    return Snapshot(spark.read.parquet(f"{path}/{m.tables}/docs"), spark.read.parquet(f"{path}/{m.tables}/postings"), m.next_id, m.documents, m.terms)
 
 
 def _fs(spark: SparkSession, path: str):
