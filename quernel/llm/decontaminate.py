@@ -14,8 +14,12 @@ run of the document's words is at most floor(rate * n).
 4. The rest is verified by the exact edit distance (bit-parallel, over words); the distance that is reported for a
    leak is the least over the whole document.
 
-Words are lower-cased runs of letters and digits, so case, punctuation and white space make no difference. Items of
-under MIN_WORDS words say too little and are ignored, as are null ones. The index of up to SLICE items is shared at a
+Items of so few words that no edit is allowed (6 at a rate of 0.15) are found by equal hashes of runs of as many words, each
+compared with the item, so exactly.
+
+Words are lower-cased runs of letters and digits, so case, punctuation and white space make no difference. All items with
+at least min_words words count (1 by default: items of one word, too, are found wherever that stands); null ones and those
+without words are ignored. If the target recall can't be reached with WALKS walks, an error is raised. The index of up to SLICE items is shared at a
 time; larger benchmarks take several scans.
 
 Result of find_leaks(): doc_id, item_id, distance, end_word (exclusive, of the first best run). Null or empty texts leak
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _text
 
-RATE, MIN_WORDS, SLICE = 0.15, 8, 100_000
+RATE, MIN_WORDS, SLICE, WALKS = 0.15, 1, 100_000, 400
 _U = np.uint64
 _C = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
@@ -91,7 +95,7 @@ def distance(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
 class Class:
     """Items of n_lo..n_hi words and their tables."""
 
-    def __init__(self, items: list[np.ndarray], ids: list[int], rate: float, recall: float, seed: int, per_walk: int = 48, sampled: int = 3, walks: int = 24):
+    def __init__(self, items: list[np.ndarray], ids: list[int], rate: float, recall: float, seed: int, per_walk: int = 48, sampled: int = 3, walks: int | None = None):
         self.n_lo, self.n_hi = min(map(len, items)), max(map(len, items))
         most = int(rate * self.n_hi)
         self.steps = max(sampled, int(1.6 * self.n_lo))
@@ -113,7 +117,9 @@ class Class:
         source, hit = np.array([i for i, _ in tries]), np.zeros(len(tries), bool)
         self.walks: list[tuple[int, list]] = []
         self.recall = 0.0
-        while self.recall < recall and len(self.walks) < walks:
+        while self.recall < recall:
+            if len(self.walks) >= (WALKS if walks is None else walks):
+                raise ValueError(f"items of {self.n_lo} to {self.n_hi} words are found at a recall of {self.recall:.3f} only")
             s = int(rng.integers(1, 1 << 60))
             own, edited = walk(h, first[:-1], s, self.steps), walk(eh, efirst[:-1], s, self.steps)
             same = own[:, source] == edited
@@ -164,12 +170,12 @@ class Class:
 class Index:
     """A benchmark's items, ready to scan documents for."""
 
-    def __init__(self, rows: list, rate: float = RATE, recall: float = 0.95, seed: int = 5):
+    def __init__(self, rows: list, rate: float = RATE, recall: float = 0.95, min_words: int = MIN_WORDS, seed: int = 5):
         self.rate, self.ids, self.words = rate, [], []
         for w in _text.words(pa.array([r.text for r in rows], pa.string())):
             h = np.maximum(w.hashes(), _U(1))
             for i in range(w.hi - w.lo):
-                if w.first[i + 1] - w.first[i] >= MIN_WORDS:
+                if w.first[i + 1] - w.first[i] >= max(1, min_words):
                     self.ids.append(rows[w.lo + i].item_id)
                     self.words.append(h[w.first[i] : w.first[i + 1]])
         self.masks: list[dict[int, int]] = []
@@ -179,18 +185,26 @@ class Index:
                 m[v] = m.get(v, 0) | 1 << k
             self.masks.append(m)
         self.size = np.array([len(x) for x in self.words], np.int64)
-        self.classes = []
+        self.classes, self.exact = [], []
         if not self.words:
             return
+        n = 1
+        while int(rate * n) == 0 and n <= self.size.max():
+            i = np.flatnonzero(self.size == n)
+            if len(i):
+                key = np.array([_text.shingles(self.words[k], n)[0] for k in i], np.uint64)
+                order = np.argsort(key, kind="stable")
+                self.exact.append((n, key[order], i[order]))
+            n += 1
         bits: dict[int, int] = {}
         for i, x in enumerate(self.words):
             for v in pairs(x)[:-1].tolist():
                 bits[v] = bits.get(v, 0) | 1 << (i & 63)
+        bits = bits or {0: 0}  # items of one word have no pair
         self.vocab = np.array(sorted(bits), np.uint64)
         self.signs = np.array([bits[v] for v in self.vocab.tolist()], np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.vocab >> _U(44)] = True
-        n = MIN_WORDS
         while n <= self.size.max():
             top = max(n, int(n * 1.2))
             i = np.flatnonzero((self.size >= n) & (self.size <= top)).tolist()
@@ -200,7 +214,7 @@ class Index:
 
     def leaks(self, w: _text.Words) -> list[tuple[int, int, int, int]]:
         """Row, item, distance and end of the leaks in some rows."""
-        if not self.classes:
+        if not self.classes and not self.exact:
             return []
         h, first = marked(w.hashes(), w.first)
         two = pairs(h)
@@ -231,6 +245,17 @@ class Index:
             row = np.searchsorted(first, place[ok], "right") - 1
             found += zip(row.tolist(), item[ok].tolist(), place[ok].tolist())
         out, done, failed = [], set(), {}
+        for n, keys, items in self.exact:
+            if len(h) < n:
+                continue
+            x = _text.shingles(h, n)
+            a, b = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+            for place in np.flatnonzero(b > a).tolist():
+                row = int(np.searchsorted(first, place, "right")) - 1
+                for item in items[a[place] : b[place]].tolist():
+                    if (row, item) not in done and (h[place : place + n] == self.words[item]).all():
+                        done.add((row, item))
+                        out.append((row, item, 0, place + n - int(first[row])))
         for row, item, place in sorted(found):
             if (row, item) in done or place <= failed.get((row, item), -1):
                 continue
@@ -246,20 +271,20 @@ class Index:
         return out
 
 
-def _indexes(spark, benchmark: DataFrame, rate: float, recall: float) -> list:
+def _indexes(spark, benchmark: DataFrame, rate: float, recall: float, min_words: int) -> list:
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     out, rows = [], []
     for r in items.toLocalIterator():
         rows.append(Row(item_id=r.item_id, text=r.text))
         if len(rows) == SLICE:
-            out.append(spark.sparkContext.broadcast(Index(rows, rate, recall)))
+            out.append(spark.sparkContext.broadcast(Index(rows, rate, recall, min_words)))
             rows = []
-    return [*out, spark.sparkContext.broadcast(Index(rows, rate, recall))] if rows or not out else out
+    return [*out, spark.sparkContext.broadcast(Index(rows, rate, recall, min_words))] if rows or not out else out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = 0.95) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = 0.95, min_words: int = MIN_WORDS) -> DataFrame:
     """Leaks of benchmark (item_id, text) in docs (doc_id, text); see the module for the result."""
-    indexes = _indexes(_spark.session(docs), benchmark, rate, recall)
+    indexes = _indexes(_spark.session(docs), benchmark, rate, recall, min_words)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def scan(index):
@@ -279,7 +304,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall
     return found[0]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = 0.95) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = 0.95, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that leak no item."""
     place = docs.columns.index("text")
 
@@ -294,6 +319,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: flo
 
         return run
 
-    for x in _indexes(_spark.session(docs), benchmark, rate, recall):
+    for x in _indexes(_spark.session(docs), benchmark, rate, recall, min_words):
         docs = docs.mapInArrow(_text.tidy(keep(x)), docs.schema)
     return docs

@@ -243,6 +243,25 @@ def test_leaks(spark):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_short_items(spark):
+    """Items of any length count: the shortest exactly, those of seven words and more with edits."""
+    texts = ["yes", "two words", "a b c d e f", "one two three four five six seven", "it is it is it is", "yes"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(1, "well YES yes"), (2, "two, words!"), (3, "two other words"), (4, "x a b c d e f a b c d e f"), (5, "a b c d e"), (6, "one two three FOUR five 6 seven"), (7, "it is it is it is it is"), (8, "a b c d x f"), (9, "")]
+    got = {(r.doc_id, r.item_id, r.distance, r.end_word) for r in decontaminate.find_leaks(documents(spark, rows), items).collect()}
+    assert got == {(1, 0, 0, 2), (1, 5, 0, 2), (2, 1, 0, 2), (4, 2, 0, 7), (6, 3, 1, 7), (7, 4, 0, 6)}
+    assert {r.item_id for r in decontaminate.find_leaks(documents(spark, rows), items, min_words=6).collect()} == {2, 3, 4}
+    one = items.where("item_id = 0")
+    assert {r.doc_id for r in decontaminate.clean(documents(spark, rows), one).collect()} == {2, 3, 4, 5, 6, 7, 8, 9}
+
+
+def test_recall_that_is_not_reached():
+    rows = [SimpleNamespace(item_id=k, text=prose(k, 40)) for k in range(5)]
+    assert decontaminate.Index(rows).classes[0].recall >= 0.95
+    with pytest.raises(ValueError):
+        decontaminate.Class(decontaminate.Index(rows).words, [0, 1, 2, 3, 4], 0.15, 1.0, 1, per_walk=1, walks=1)
+
+
 def test_leaks_odd(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, prose(2, 30)), (4, prose(2, 30)), (None, prose(1, 40))], "item_id long, text string")
     got = [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(odd(spark), items).collect()]
