@@ -165,6 +165,21 @@ def classes(known: DataFrame, found: DataFrame, id: str) -> DataFrame:
     return out
 
 
+def some_of_each(labels: DataFrame, per_class: int) -> DataFrame:
+    """At most per_class ids of each label of (doc_id, label), those of the least hashes; of several labels of one id the least
+    counts, nulls don't. Each label is ranked in as many parts as there are shuffle partitions, then what is left of these, so
+    that no task sorts all of a label."""
+    from pyspark.sql import Window
+
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
+    ids = ids.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    for by in (["label", "part"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_class)
+    return ids.select("doc_id", "label")
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[list], object]) -> object:
     """What fit makes of the rows (doc_id, text, label), by doc_id and the first of each id: in one task, so the driver holds the model alone.
 

@@ -38,12 +38,10 @@ def gram_ids(buf: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
-def bag(ids: list[np.ndarray], lo: int, hi: int, bits: int, most: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of the bytes lo..hi and their share; of more than most n-grams a random sample from the whole range."""
+def bag(ids: list[np.ndarray], lo: int, hi: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of all n-grams of the bytes lo..hi and their share."""
     x = np.concatenate([v[lo:hi] for v in ids])
     x = x[x < 1 << bits]
-    if len(x) > most:
-        x = rng.choice(x, most, replace=False)
     u, n = np.unique(x, return_counts=True)
     return u, (n / max(1, len(x))).astype(np.float32)
 

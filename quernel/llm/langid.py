@@ -7,7 +7,7 @@ is rejected (the least at which precision target is met) and the share of known
 Result of identify(): doc_id, lang_pred ('und' if rejected), confidence, accepted; one row per input row.
 
 Null or empty texts and texts without letters are 'und' with confidence 0. Rows with a null doc_id keep it.
-Repeated rows get the same answer each. Null labels are not trained on; without labels every text is 'und'.
+Repeated rows get the same answer each. Null labels are not trained on; of several labels of one doc_id the least counts; without labels every text is 'und'.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _subword, _text
@@ -54,14 +54,12 @@ class Identifier:
 
 def sample(docs: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most per_class rows (doc_id, text, label) of each label, by a hash of doc_id; only ids are ranked, not texts."""
-    ids = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
-    return _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids.dropDuplicates(["doc_id"]), "doc_id")
+    ids = _spark.some_of_each(docs.select("doc_id", F.col(label).alias("label")), per_class)
+    return _spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id")
 
 
-def fit(rows: list, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, most: int = 20_000, precision: float = 0.999, seed: int = 7) -> Identifier | None:
-    """Fits on rows (text, label); most: n-grams taken of one text, drawn from all of it."""
+def fit(rows: list, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float = 0.5, precision: float = 0.999, seed: int = 7) -> Identifier | None:
+    """Fits on the whole texts of rows (text, label)."""
     names = sorted({r.label for r in rows})
     if not names:
         return None
@@ -69,8 +67,7 @@ def fit(rows: list, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float
     bags = []
     for r in rows:
         for w in _text.words(pa.array([r.text])):
-            ids = _subword.gram_ids(w.buf, bits)
-            bags.append(_subword.bag(ids, 0, len(w.buf), bits, most, rng))
+            bags.append(_subword.bag(_subword.gram_ids(w.buf, bits), 0, len(w.buf), bits))
     labels = np.array([names.index(r.label) for r in rows])
     held = rng.permutation(len(rows)) < len(rows) // 5
     model = _subword.Model(len(names), bits, dim, seed)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _text
@@ -196,9 +196,7 @@ def fit(rows: list, epochs: int = 6, rate: float = 0.02, emb_rate: float = 1.0,
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model | None:
     """Fits on at most per_class documents of each label."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
+    ids = _spark.some_of_each(labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").alias("label")), per_class)
     _spark.session(docs)
     return _spark.fit_in_task(_spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id"), fit)
 

@@ -9,14 +9,14 @@ Result of score(): doc_id, toxicity (0..1), worst_word (first word of the worst
 
 Null or empty texts and texts without words score 0 and are not toxic. Rows with a null doc_id keep it. Ties between
 windows go to the first. Repeated rows get the same answer each. Labels that are null or of unknown documents are not
-trained on; unless both labels occur, nothing is toxic. Extra columns are ignored; an empty table gives an empty result.
+trained on; a document with both labels is toxic; unless both labels occur, nothing is toxic. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _subword, _text, langid
@@ -68,8 +68,8 @@ def _scorer(model: _subword.Model) -> Scorer:
     return Scorer(t[:, 1] - t[:, 0], float(model.bias[1] - model.bias[0]), 0.0)
 
 
-def _odds(chunks: list[_text.Words], y: np.ndarray, held: np.ndarray) -> Scorer:
-    """Scores each n-gram by the log odds of the documents not held out that have it, toxic over clean."""
+def _odds(chunks: list[_text.Words], y: np.ndarray, held: np.ndarray, least_docs: int) -> Scorer:
+    """Scores each n-gram by the log odds of the documents not held out that have it, toxic over clean; 0 if fewer than least_docs have it."""
     n = np.full((2, (1 << BITS) + 1), 0.5)
     for w in chunks:
         ids = _subword.gram_ids(w.buf, BITS)
@@ -78,13 +78,14 @@ def _odds(chunks: list[_text.Words], y: np.ndarray, held: np.ndarray) -> Scorer:
                 n[y[w.lo + i], np.unique(np.concatenate([v[w.offs[i] : w.offs[i + 1]] for v in ids]))] += 1
     share = n / (np.array([[(~held & (y == k)).sum() for k in (0, 1)]]).T + 1)
     table = np.log(share[1] / share[0])
-    table[n.sum(axis=0) < 3] = 0  # seen once: chance
+    table[n.sum(axis=0) < 1 + least_docs] = 0
     table[-1] = 0
     return Scorer(table.astype(np.float32), 0.0, 0.0)
 
 
-def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float = 0.5, most: int = 20_000, seed: int = 11) -> Scorer | None:
-    """Fits on rows (text, label 0 or 1)."""
+def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float = 0.5, least_docs: int = 2, per_toxic: int = 3, per_clean: int = 4, seed: int = 11) -> Scorer | None:
+    """Fits on rows (text, label 0 or 1). Parameters of the training: documents that an n-gram must be in to count at
+    the start, and windows that a toxic document (its worst that share no word with the very worst) and a clean one (its worst, others at random) contribute."""
     rng = np.random.default_rng(seed)
     rows = [r for r in rows if r.text and r.label in (0, 1)]
     y = np.array([r.label for r in rows], int)
@@ -94,7 +95,7 @@ def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float
     if len(set(y[~held].tolist())) < 2:
         held[:] = False
     chunks = list(_text.words(pa.array([r.text for r in rows]), 1 << 18))
-    scorer = _odds(chunks, y, held)
+    scorer = _odds(chunks, y, held, least_docs)
     for step in range(rounds):
         bags, labels = [], []
         for w in chunks:
@@ -106,11 +107,12 @@ def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float
                     continue
                 label = y[w.lo + i]
                 order = lo + np.argsort(-s[lo:hi], kind="stable")
-                chosen = [int(order[0])] if label else [int(order[0]), *rng.integers(lo, hi, 3).tolist()]
-                if label:  # others of its windows that share no word with the worst
-                    chosen += [int(k) for k in order[1:30] if abs(k - order[0]) >= WINDOW and s[k] > 0][:2]
+                chosen = [int(order[0])] if label else [int(order[0]), *rng.integers(lo, hi, per_clean - 1).tolist()]
+                if label:
+                    apart = order[(np.abs(order - order[0]) >= WINDOW) & (s[order] > 0)]
+                    chosen += apart[: per_toxic - 1].tolist()
                 for k in chosen:
-                    bags.append(_subword.bag(ids, w.starts[k], w.ends[last[k]], BITS, most, rng))
+                    bags.append(_subword.bag(ids, w.starts[k], w.ends[last[k]], BITS))
                     labels.append(label)
         model = _subword.Model(2, BITS, dim, seed)
         model.train(bags, np.array(labels), epochs, rate, seed + step)
@@ -129,9 +131,9 @@ def fit(rows: list, dim: int = 16, rounds: int = 3, epochs: int = 8, rate: float
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Scorer | None:
     """Fits on at most per_class documents of each label."""
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where("label IN (0, 1)").dropDuplicates(["doc_id"])
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.where("doc_id IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "label")
+    # the least label counts, so toxic is 0 and clean 1 here
+    ids = _spark.some_of_each(labels.where("toxic IN (0, 1)").select("doc_id", (1 - F.col("toxic")).alias("label")), per_class)
+    ids = ids.select("doc_id", (1 - F.col("label")).alias("label"))
     _spark.session(docs)
     return _spark.fit_in_task(_spark.matching(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id"), fit)
 

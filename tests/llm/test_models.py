@@ -1,10 +1,13 @@
 """Language ID, toxicity and quality: held-out accuracy on planted signals, and odd input."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quernel.llm import langid, quality, toxicity
+from quernel.llm import _spark, _subword, _text, langid, quality, toxicity
 from tests.llm.helpers import documents, odd
 
 SYLLABLES = {"en": ["th", "er", "ing", "on", "st", "ou"], "de": ["sch", "ung", "ein", "ver", "ü", "ä"], "es": ["ción", "mente", "os", "que", "ñ", "ll"]}
@@ -31,6 +34,51 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(other, known).collect()} == {"und"}
 
 
+def plain_ids(text, bits):
+    """Buckets of the n-grams of each word with a space around it, one at a time."""
+    import re
+
+    out = []
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        b = f" {w} ".encode()
+        for n in _subword.SIZES:
+            for k in range(len(b) - n + 1):
+                h = (int.from_bytes(b[k : k + n], "little") + n) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                h ^= h >> 29
+                out.append((h * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> (64 - bits))
+    return out
+
+
+def test_language_by_hand(spark):
+    """Scores of identify() against sums over n-grams taken one by one; a text longer than any piece counts whole."""
+    rng = random.Random(4)
+    rows = [(k, text(rng, lang), lang) for k, lang in enumerate([*SYLLABLES] * 20)]
+    model = langid.fit([SimpleNamespace(text=t, label=g) for _, t, g in rows])
+    long = text(rng, "de", 60_000) + " " + text(rng, "es", 90_000)
+    for t in [text(rng, "en", 9), text(rng, "es", 30), long, "a", "th"]:
+        ids = plain_ids(t, model.bits)
+        for w in _text.words(pa.array([t])):
+            best, conf, ok = model.predict(w)
+        if not ids:
+            assert not ok[0] and conf[0] == 0
+            continue
+        mean = model.table[ids].astype(np.float64).mean(axis=0)
+        z = (mean[:-1] + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert best[0] == p.argmax() and conf[0] == pytest.approx(p.max(), rel=1e-4)
+        assert ok[0] == (p.max() >= model.least and mean[-1] >= model.known)
+
+
+def test_training_texts_count_whole():
+    """What stands behind the first 100,000 n-grams of a training text decides."""
+    rng, filler = random.Random(5), text(random.Random(6), "en", 20_000)
+    rows = [SimpleNamespace(text=f"{filler} {text(rng, lang, 9000)}", label=lang) for lang in ["de", "es"] * 8]
+    model = langid.fit(rows)
+    for lang in ("de", "es"):
+        (w,) = _text.words(pa.array([text(rng, lang, 50)]))
+        assert model.names[model.predict(w)[0][0]] == lang
+
+
 def test_language_odd(spark):
     d = odd(spark)
     got = langid.identify(d).collect()
@@ -65,6 +113,30 @@ def test_toxicity(spark):
             assert any(x in " ".join(t.split()[got[i].worst_word :][: toxicity.WINDOW]) for x in ("vile", "rude"))
 
 
+def test_toxicity_by_hand(spark):
+    """The worst window of each text by scoring every window n-gram by n-gram."""
+    rows = toxic_rows(1, 200)
+    scorer = toxicity.train(documents(spark, [r[:2] for r in rows]), labels(spark, [(i, 1, y) for i, _, y in rows]))
+    for _, t, _ in toxic_rows(7, 12) + [(0, "one", 0), (0, text(random.Random(1), n=3), 0)]:
+        w = t.split()
+        scores = []
+        for k in range(len(w)):
+            ids = plain_ids(" ".join(w[k : k + toxicity.WINDOW]), toxicity.BITS)
+            scores.append(float(np.mean(scorer.table[ids].astype(np.float64)) if ids else 0) + scorer.bias)
+        (x,) = _text.words(pa.array([t]))
+        top, at = scorer.worst(x)
+        assert top[0] == pytest.approx(max(scores), abs=1e-4) and scores[at[0]] == pytest.approx(max(scores), abs=1e-4)
+
+
+def test_several_labels_of_an_id(spark):
+    both = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (None, "a"), (3, None)] + [(10 + k, "c") for k in range(99)], "doc_id long, label string")
+    got = {(r.doc_id, r.label) for r in _spark.some_of_each(both, 200).collect()}
+    assert got == {(1, "a"), (2, "b")} | {(10 + k, "c") for k in range(99)}
+    few = [r.doc_id for r in _spark.some_of_each(both, 7).where("label = 'c'").collect()]
+    want = [r.doc_id for r in both.where("label = 'c'").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").limit(7).collect()]
+    assert sorted(few) == sorted(want)
+
+
 def test_toxicity_odd(spark):
     d = odd(spark)
     none = toxicity.train(d, labels(spark, [(1, 1, 1), (5, 0, 0), (99, 1, 1), (None, 1, 1), (4, None, None)]))
