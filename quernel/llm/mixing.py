@@ -10,9 +10,10 @@ amount of data: block j is in period (j-1) div k, in the slot of that period's (
 In the slot in which some source has no block left, a phase ends: from there on the weights can't be held. A next phase
 schedules what is left of the others by the units they have, from which their shares follow, and so on until all blocks
 have a slot. So no document is lost, there are no more phases than sources, and within each phase a source's number of
-blocks differs from its share of the phase by less than one. With whole=False the mixture is the first phase alone, which
+blocks differs from its share of the phase by less than one. That holds for slots; a document is part of the block in which it
+starts, so in characters a source is ahead or behind by up to two blocks and the length of its longest document. With whole=False the mixture is the first phase alone, which
 holds the weights and leaves out what other sources have left; that is the default for weights that are given, while
-default weights make a whole mixture. A document is part of the block in which it starts.
+default weights make a whole mixture.
 
 Default weights are volumes to the power of temperature, so that small sources count for more than their volume.
 
@@ -123,44 +124,49 @@ def _plan(docs: DataFrame, weights: dict | None, block_chars: int, resolution: i
 
 
 def _scheduled(docs: DataFrame, weights, block_chars, resolution, temperature, seed, whole) -> tuple[DataFrame, int]:
+    """The columns of docs as c0, c1, ..., so that no name clashes with one of those made here, with _block, _slot and _start; and the number of slots."""
     spark = _spark.session(docs)
     sources, ranges, table, end = _plan(docs, weights, block_chars, resolution, temperature, whole)
     src = spark.createDataFrame(sources, "_name string, _index long, _blocks long, _buckets long")
     # as large as the sources are many, whatever their size
     ranges = F.broadcast(spark.createDataFrame(ranges, "_phase long, _in long, _before long, _upto long, _first long, _units long, _size long"))
     slots = F.broadcast(spark.createDataFrame(table, "_phase long, _index long, _nth long, _in_period long"))
-    x = docs.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    x = x.join(src, F.col("source").cast("string").eqNullSafe(F.col("_name")), "left")
+    id, text, source = (f"c{_place(docs, name)}" for name in ("doc_id", "text", "source"))
+    x = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    x = x.withColumn("_hash", F.xxhash64(F.lit(seed), id, text)).withColumn("_chars", F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    x = x.join(src, F.col(source).cast("string").eqNullSafe(F.col("_name")), "left")
     part = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
     x = x.withColumn("_bucket", F.floor(part * F.coalesce("_buckets", F.lit(1))))
     # the order of a source is that of its buckets, so no task sees all of a source
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = x.groupBy("source", "_bucket").agg(F.sum("_chars").alias("_sum"))
-    base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(F.col("source").alias("_source"), F.col("_bucket").alias("_of"), "_base")
-    within = Window.partitionBy("source", "_bucket").orderBy(F.shiftrightunsigned("_hash", 11), "_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(source, "_bucket").agg(F.sum("_chars").alias("_sum"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(F.col(source).alias("_source"), F.col("_bucket").alias("_of"), "_base")
+    within = Window.partitionBy(source, "_bucket").orderBy(F.shiftrightunsigned("_hash", 11), "_hash", id).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_sum", F.sum("_chars").over(within) - F.col("_chars"))
-    x = x.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
-    x = x.withColumn("char_start", F.col("_base") + F.col("_sum"))
+    x = x.join(base, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
+    x = x.withColumn("_start", F.col("_base") + F.col("_sum"))
     # empty texts behind a last block that is full have no block of their own
-    x = x.withColumn("block", F.least(F.floor(F.col("char_start") / block_chars) + 1, "_blocks"))
-    x = x.join(ranges, (F.col("_index") == F.col("_in")) & (F.col("block") > F.col("_before")) & (F.col("block") <= F.col("_upto")), "left")
-    done = F.col("block") - 1 - F.col("_before")
+    x = x.withColumn("_block", F.least(F.floor(F.col("_start") / block_chars) + 1, "_blocks"))
+    x = x.join(ranges, (F.col("_index") == F.col("_in")) & (F.col("_block") > F.col("_before")) & (F.col("_block") <= F.col("_upto")), "left")
+    done = F.col("_block") - 1 - F.col("_before")
     x = x.withColumn("_nth", done % F.col("_units")).join(slots, ["_phase", "_index", "_nth"], "left")
-    return x.withColumn("slot", F.col("_first") + F.floor(done / F.col("_units")) * F.col("_size") + F.col("_in_period")), end
+    return x.withColumn("_slot", F.col("_first") + F.floor(done / F.col("_units")) * F.col("_size") + F.col("_in_period")), end
+
+
+def _place(docs: DataFrame, name: str) -> int:
+    return docs.columns.index(name)
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
     """Block, slot and place of every row of docs (doc_id, text, source, ...); see the module for the result."""
-    own = [c for c in docs.columns if c not in ("block", "slot", "char_start")]
-    x, _ = _scheduled(docs.select(*own), weights, block_chars, resolution, temperature, seed, whole)
-    return x.select(*own, "block", "slot", "char_start")
+    x, _ = _scheduled(docs, weights, block_chars, resolution, temperature, seed, whole)
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in ("block", "slot", "char_start")]
+    return x.select(*own, F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("char_start"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
     """The mixture's rows in its order, with the columns of docs."""
-    own = [c for c in docs.columns if c not in ("block", "slot", "char_start")]
-    spare = {c: f"_own_{c}" for c in docs.columns if c not in own}
-    x, end = _scheduled(docs.withColumnsRenamed(spare), weights, block_chars, resolution, temperature, seed, whole)
+    x, end = _scheduled(docs, weights, block_chars, resolution, temperature, seed, whole)
     parts = max(1, -(-end * block_chars // PART_CHARS))
-    x = x.where("slot IS NOT NULL").repartitionByRange(parts, "slot").sortWithinPartitions("slot", "char_start", "doc_id")
-    return x.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
+    x = x.where("_slot IS NOT NULL").repartitionByRange(parts, "_slot").sortWithinPartitions("_slot", "_start", f"c{_place(docs, 'doc_id')}")
+    return x.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

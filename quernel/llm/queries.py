@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import decontaminate, embedding_dedup, langid, licenses, mixing, ngram_join, quality, records, suffix_dedup, toxicity
+from quernel.llm import _spark, decontaminate, embedding_dedup, langid, licenses, mixing, ngram_join, quality, records, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.encode(table(spark, sf_dir, "documents"))
+    return records.write_shards(table(spark, sf_dir, "documents"), _spark.scratch(spark, "token-records"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,16 @@
 A record is framed as: length of the payload (8 bytes), masked CRC-32C of these, payload, masked CRC-32C of the payload;
 little-endian, the mask being rotation right by 15 bits plus 0xa282ead8. The payload holds the ids as 2-byte numbers if
 the vocabulary has at most 65,536 ids, else as 4-byte ones. A shard is what one partition of the input yields, in its
-order, so no data move; a record's offset is its place in the shard's file.
+order, so no data move; a record's offset is its place in the shard's file. in_file_order() numbers shards by the place of
+their rows in the files of a table instead, so that the shards' order is that in which the table was written.
 
 encode() returns a row per document: shard, seq, doc_id, n_tokens, offset, size (of the frame), record (the frame).
 write_shards() writes the frames of each shard one behind the other to shard-NNNNN.rec, and the index (shard, seq,
 doc_id, n_tokens, offset, size) as a Parquet table beside them; read_record() fetches one record by its index row.
 Files appear under their names only when complete, and a task that runs again writes the same file.
 
+Token ids are those of a file of ranks: an argument, else the setting spark.quernel.tokenizer.ranks, else RANKS.
+
 Null texts give no tokens, as empty ones do: an empty record (with end only, if an end id is given). A null doc_id stays
 null. Repeated rows give a record each. Extra columns are ignored; an empty table gives no records.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import _spark, _text
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+RANKS, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.quernel.tokenizer.ranks"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a lane of the checksum.
 LANE = 64
@@ -146,6 +149,8 @@ def tokenizer(ranks: dict[bytes, int], pattern: str = PATTERN):
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no tokenizer ranks at {path}; name a file in {SETTING} or as an argument")
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
@@ -153,20 +158,32 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
 FIELDS = "shard int, seq long, doc_id long, n_tokens long, offset long, size long, record binary"
 
 
-def encode(docs: DataFrame, ranks_path: str = RANKS, end_id: int | None = None) -> DataFrame:
-    """Records of docs (doc_id, text); see the module for the result. end_id is put behind each sequence, if given."""
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs, read from files as they are, with a column of that name: the place of the row's part of a file, by path and start."""
+    at = docs.select("*", F.col("_metadata.file_path").alias(f := _spark.fresh(docs, "file")), F.col("_metadata.file_block_start").alias(s := _spark.fresh(docs, "start")))
+    parts = sorted(at.select(f, s).distinct().collect())  # as many as tasks read the table
+    order = docs.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(parts)], f"`{f}` string, `{s}` long, `{name}` int")
+    return at.join(F.broadcast(order), [f, s]).select(*docs.columns, name)
+
+
+def _framing(docs: DataFrame, ranks_path: str | None, end_id: int | None, shard: str | None):
+    """What encode() reads of docs, and what makes batches of records of it."""
     spark = _spark.session(docs)
-    ranks = load_ranks(ranks_path)
+    ranks = load_ranks(ranks_path or spark.conf.get(SETTING, RANKS))
     kind = "<u2" if max(len(ranks) - 1, end_id or 0) < 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(ranks)  # of fixed size: the vocabulary
     end = [] if end_id is None else [end_id]
 
     def run(batches):
         enc = tokenizer(shared.value)
-        shard, seq, offset = TaskContext.get().partitionId(), 0, 0
+        last, seq, offset = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            shards = np.full(b.num_rows, last, np.int32) if shard is None else b.column(2).to_numpy()
+            edges = sorted({*range(0, b.num_rows, 500), *(np.flatnonzero(np.diff(shards)) + 1).tolist(), b.num_rows})
+            for lo, hi in zip(edges, edges[1:]):
+                part = b.slice(lo, hi - lo)
+                if shards[lo] != last:
+                    last, seq, offset = int(shards[lo]), 0, 0
                 ids = [np.array(enc.encode_ordinary(t or "") + end, kind) for t in part.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids])
                 width = np.dtype(kind).itemsize
@@ -175,7 +192,7 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, end_id: int | None = None)
                 record = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(n), shard, np.int32)),
+                        pa.array(np.full(len(n), last, np.int32)),
                         pa.array(np.arange(seq, seq + len(n))),
                         part.column(0),
                         pa.array(n),
@@ -188,38 +205,56 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, end_id: int | None = None)
                 seq += len(n)
                 offset += int(offs[-1])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_text.tidy(run), FIELDS)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"] + ([] if shard is None else [F.col(shard).cast("int").alias("shard")])
+    return docs.select(*columns), run
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, end_id: int | None = None, shard: str | None = None) -> DataFrame:
+    """Records of docs (doc_id, text); see the module for the result. end_id is put behind each sequence, if given. shard: a
+    column of shard numbers, the rows of each of which follow each other in one partition."""
+    texts, run = _framing(docs, ranks_path, end_id, shard)
+    return texts.mapInArrow(_text.tidy(run), FIELDS)
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
-def write_shards(docs: DataFrame, folder: str, ranks_path: str = RANKS, end_id: int | None = None) -> DataFrame:
-    """Writes shards and their index under folder, which all executors must share; returns the index."""
-    spark = _spark.session(docs)
+def write_shards(docs: DataFrame, folder: str, ranks_path: str | None = None, end_id: int | None = None, shard: str | None = None) -> DataFrame:
+    """Writes shards and their index under folder, which all executors must share; returns the index. The rest as for encode()."""
+    texts, frame = _framing(docs, ranks_path, end_id, shard)
 
     def run(batches):
         fs, base = _place(folder)
         fs.create_dir(base, recursive=True)
-        out, temp, shard = None, f"{base}/_writing-{uuid.uuid4().hex}", None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                shard = b.column(0)[0].as_py()
-                out = fs.open_output_stream(temp)
-            for x in b.column(6):
-                out.write(x.as_buffer())
+        out, temp, last = None, "", None
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(temp, f"{base}/shard-{last:05d}.rec")
+
+        for b in frame(batches):
+            shards = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, np.diff(shards) != 0)).tolist() if len(shards) else []
+            for lo, hi in zip(edges, [*edges[1:], len(shards)]):
+                if out is None or shards[lo] != last:
+                    close()
+                    last, temp = int(shards[lo]), f"{base}/_writing-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(temp)
+                data, _ = _text.raw(b.column(6).slice(lo, hi - lo))
+                out.write(memoryview(np.ascontiguousarray(data)))
             yield b.select(range(6))
-        if out is not None:
-            out.close()
-            fs.move(temp, f"{base}/shard-{shard:05d}.rec")
+        close()
 
-    index = encode(docs, ranks_path, end_id).mapInArrow(_text.tidy(run), FIELDS.removesuffix(", record binary"))
+    index = texts.mapInArrow(_text.tidy(run), FIELDS.removesuffix(", record binary"))
     at = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
     index.write.parquet(f"{at}/index")
-    return spark.read.parquet(f"{at}/index")
+    fs, base = _place(folder)
+    for f in fs.get_file_info(pafs.FileSelector(base)):
+        if f.base_name.startswith("_writing-"):  # of a task that broke off
+            fs.delete_file(f.path)
+    return docs.sparkSession.read.parquet(f"{at}/index")
 
 
 def read_record(folder: str, shard: int, offset: int, size: int, width: int = 2) -> list[int]:

@@ -192,6 +192,31 @@ def test_records(spark, tmp_path):
         assert (tmp_path / "out" / f"shard-{shard:05d}.rec").stat().st_size == sum(r.size for r in own)
 
 
+def test_order_of_the_mixture_in_shards(spark, tmp_path, monkeypatch):
+    """The records of a mixture of several files, read back, are in the mixture's order by (shard, seq)."""
+    monkeypatch.setattr(mixing, "PART_CHARS", 60_000)
+    docs, _ = sources(spark, {"a": 500, "b": 60}, chars=2000)
+    order = [r.doc_id for r in mixing.mix(docs).collect()]
+    mixing.mix(docs).write.parquet(f"{tmp_path}/m")
+    back = spark.read.parquet(f"{tmp_path}/m")
+    assert len(back.inputFiles()) > 4
+    index = records.write_shards(records.in_file_order(back, "shard"), f"{tmp_path}/out", shard="shard").collect()
+    assert [r.doc_id for r in sorted(index, key=lambda r: (r.shard, r.seq))] == order
+    enc, texts = records.tokenizer(records.load_ranks()), {r.doc_id: r.text for r in docs.collect()}
+    for r in index[::7]:
+        assert enc.decode(records.read_record(f"{tmp_path}/out", r.shard, r.offset, r.size)) == texts[r.doc_id]
+    assert records.in_file_order(back.selectExpr("*", "1 AS file", "2 AS start"), "shard").columns == [*back.columns, "file", "start", "shard"]
+
+
+def test_ranks_by_setting(spark):
+    spark.conf.set(records.SETTING, "/nowhere.tiktoken")
+    try:
+        with pytest.raises(FileNotFoundError, match=records.SETTING):
+            records.encode(odd(spark))
+    finally:
+        spark.conf.unset(records.SETTING)
+
+
 def test_broken_records():
     frame = bytes(records.frames(np.frombuffer(b"hello", np.uint8), np.array([0, 5]))[0])
     assert records.unframe(frame) == b"hello"
@@ -212,6 +237,21 @@ def test_records_odd(spark):
     assert records.encode(d.limit(0)).count() == 0
 
 
+def test_pipeline_odd(spark, tmp_path):
+    """Clashing columns, nulls, empty and very long texts and repeated rows through every stage; an empty table, too."""
+    d = odd(spark)
+    spark.createDataFrame([(k, 1, k % 2) for k in range(7)], "doc_id long, quality int, toxic int").where("doc_id < 0").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(77, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, x in enumerate((d, d.limit(0))):
+        stage = x
+        for name, f in corpus_pipeline.STAGES:
+            f(spark, stage, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
+            stage = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            if name != "token_records":
+                assert stage.columns == d.columns and stage.where("_slot <> 'clash' OR gone <> 'clash' OR c0 <> 'clash'").count() == 0
+            assert stage.count() == x.count()
+
+
 # pipeline
 
 
