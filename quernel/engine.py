@@ -1,14 +1,18 @@
 """The engine: an index that can be changed and asked, with results on the driver.
 
-State is immutable tables, swapped as a whole: a change writes the new docs table to the shared folder, and postings and
-vocabulary are built from it when they are first needed. Readers go on with the tables that they have.
+State is immutable: a list of segments, each a docs table and its postings, and for each the ids that later changes took
+out. A change writes one segment of the documents that it brings, and ids; it reads nothing that is there. From SEGMENTS
+segments on a change ends with writing all as one. Readers go on with the tables that they have.
 """
 
 from __future__ import annotations
 
 import threading
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +25,11 @@ from quernel.operators.ranking import B, K1, Ranker, Registry
 from quernel.operators.search import SearchOptions
 from quernel.plans.parser import extract_terms, normalize_query
 from quernel.sources import snapshot
+from quernel.sources.loaders import numbered
 
 DOCS = "doc_id long, fields map<string,string>, text string, lt string, tokens array<string>, term_count long"
+#: Segments that there may be before a change writes all as one.
+SEGMENTS = 8
 
 
 @dataclass(frozen=True)
@@ -44,42 +51,69 @@ class Page:
     has_next_page: bool
 
 
+@dataclass(frozen=True)
+class Segment:
+    docs: DataFrame
+    postings: DataFrame
+    gone: tuple[DataFrame, ...] = ()  # tables of ids
+
+    def live(self, table: DataFrame) -> DataFrame:
+        return index.without(table, reduce(DataFrame.union, self.gone)).select(*table.columns) if self.gone else table
+
+
 class SearchEngine:
     def __init__(self, spark: SparkSession, config: AnalyzerConfig = AnalyzerConfig()):
         self.spark, self.config = spark, config
         self.registry, self.cache = Registry(), QueryCache()
         self.k1, self.b = K1, B
         self._lock = threading.RLock()
-        self._next_id = 1
-        self._set(spark.createDataFrame([], DOCS))
+        self.version = 0
+        self.clear()
 
-    def _set(self, docs: DataFrame, postings: DataFrame | None = None) -> None:
-        self.docs, self._postings, self._grams = docs, postings, None
-        self.version = getattr(self, "version", 0) + 1
+    def clear(self) -> None:
+        """Drops all documents; ids start at 1 again."""
+        with self._lock:
+            self._next_id = 1
+            self._set([])
+
+    def _set(self, segments: list[Segment]) -> None:
+        if len(segments) > SEGMENTS:
+            self._segments = segments
+            docs, postings = (storage.persist(t, "compacted") for t in (self.docs, self.postings))
+            segments = [Segment(docs, postings)]
+        self._segments, self._size, self._grams = segments, None, None
+        self.version += 1
         self.cache.clear()
 
     # changes
 
+    def _segment(self, docs: DataFrame) -> Segment:
+        table = storage.persist(index.analyze(docs, self.config), "docs")
+        return Segment(table, storage.persist(index.by_term(index.build_postings(table)), "postings"))
+
+    def _without(self, ids: DataFrame) -> list[Segment]:
+        return [replace(s, gone=(*s.gone, ids)) for s in self._segments]
+
     def index_documents(self, documents: DataFrame) -> None:
         """Adds (doc_id, fields), in place of documents of the same ids; null ids are given, above all that there are."""
         with self._lock:
-            docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "fields")
-            ids = docs.agg(F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("free")).first()
-            first = max(self._next_id, (ids.top or 0) + 1, (self.docs.agg(F.max("doc_id")).first()[0] or 0) + 1)
+            # read once, so that rows keep their places
+            docs = storage.persist(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "fields"), "incoming")
+            ids = docs.agg(F.max("doc_id").alias("top"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("free")).first()
+            first = max(self._next_id, (ids.top or 0) + 1)
+            # of rows with one id in a batch one stays: the greatest
+            given = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by("fields", F.to_json("fields")).alias("fields"))
             if ids.free:
-                free = docs.where("doc_id IS NULL").rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0].fields))
-                docs = docs.where("doc_id IS NOT NULL").union(self.spark.createDataFrame(free, "doc_id long, fields map<string,string>"))
+                given = given.unionByName(numbered(docs.where("doc_id IS NULL").select("fields"), first).select("doc_id", "fields"))
+            new = self._segment(given)
+            old = self._segments if ids.low is None or ids.low >= self._next_id else self._without(new.docs.select("doc_id"))
             self._next_id = first + ids.free
-            # of rows with one id in a batch one stays: the greatest
-            docs = docs.groupBy("doc_id").agg(F.max_by("fields", F.to_json("fields")).alias("fields"))
-            new = storage.persist(index.analyze(docs, self.config), "docs-new")
-            self._set(storage.persist(index.upsert(self.docs, new), "docs"))
+            self._set([*old, new])
 
     def index_document(self, fields: dict[str, str], doc_id: int = 0) -> int:
         """Adds one document; an id of 0 is replaced by the next free one, which is returned."""
         with self._lock:
-            if doc_id <= 0:
-                doc_id = max(self._next_id, (self.docs.agg(F.max("doc_id")).first()[0] or 0) + 1)
+            doc_id = doc_id if doc_id > 0 else self._next_id
             self.index_documents(self.spark.createDataFrame([(doc_id, fields)], "doc_id long, fields map<string,string>"))
             return doc_id
 
@@ -97,23 +131,37 @@ class SearchEngine:
         with self._lock:
             if not self._has(doc_id):
                 return False
-            self._set(storage.persist(self.docs.where(F.col("doc_id") != doc_id), "docs"))
+            self._set(self._without(self.spark.createDataFrame([(doc_id,)], "doc_id long")))
             return True
 
     def set_config(self, config: AnalyzerConfig) -> None:
         """Changes the analyzer and builds the index anew with it."""
         with self._lock:
-            self.config = config
-            self._set(storage.persist(index.analyze(self.docs.select("doc_id", "fields"), config), "docs"))
+            docs, self.config = self.docs.select("doc_id", "fields"), config
+            self._set([self._segment(docs)] if self._segments else [])
 
     # tables
 
+    def _all(self, name: str, schema: str) -> DataFrame:
+        parts = [s.live(getattr(s, name)) for s in self._segments]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    @property
+    def docs(self) -> DataFrame:
+        with self._lock:
+            return self._all("docs", DOCS)
+
     @property
     def postings(self) -> DataFrame:
         with self._lock:
-            if self._postings is None:
-                self._postings = storage.persist(index.build_postings(self.docs), "postings")
-            return self._postings
+            return self._all("postings", index.POSTINGS)
+
+    def size(self) -> tuple[int, float]:
+        """Number of documents and their average number of tokens."""
+        with self._lock:
+            if self._size is None:
+                self._size = index.size_of(self.docs)
+            return self._size
 
     def vocabulary(self) -> DataFrame:
         return index.vocabulary(self.postings)
@@ -142,6 +190,10 @@ class SearchEngine:
     def documents(self, offset: int = 0, limit: int = 10) -> list[dict]:
         return [r.asDict() for r in self.docs.orderBy("doc_id").offset(offset).limit(limit).select("doc_id", "fields", "term_count").collect()]
 
+    def suggest(self, prefix: str, most: int = 3) -> list[str]:
+        """The shortest terms that begin with the prefix."""
+        return [r.term for r in fuzzy.suggest(self.vocabulary(), prefix, most).collect()]
+
     # rankers
 
     def register_ranker(self, name: str, ranker: Ranker) -> None:
@@ -169,17 +221,19 @@ class SearchEngine:
             new = fuzzy.expand(self.vocabulary(), self.grams(), terms, o.max_edit_distance)
             terms = [new.get(t, t) for t in terms]
         name = search.ranker_name(o, self.registry)
-        stats = index.query_stats(self.docs, terms)
-        found = search.hits(self.docs, terms, stats, self.registry.get(name), self.k1, self.b)
-        return found, terms, new, name
+        postings = self.postings
+        stats = index.stats_of(postings, self.size(), terms)
+        found = search.hits(self.docs, terms, stats, self.registry.get(name), self.k1, self.b, postings)
+        # the penalty is part of the score that cursors are compared with
+        return found.withColumn("score", F.col("score") * F.lit(fuzzy.penalty(len(new)))), terms, new, name
 
     def _results(self, best: DataFrame, terms: list[str], new: dict[str, str], name: str, o: SearchOptions) -> list[SearchResult]:
-        factor, out = fuzzy.penalty(len(new)), []
+        out = []
         method = "Top-K Heap (O(N log K))" if o.use_top_k else "Full Sort (O(N log N))"
         for r in best.select("doc_id", "fields", "text", "score").collect():
             why = f"Ranker: {name}, Score: {r.score:.6f}, Method: {method}" if o.explain else ""
             cut = tuple(generate(r.text, terms, o.snippet)) if o.snippets else ()
-            out.append(SearchResult(r.doc_id, r.score * factor, r.fields, why, cut, dict(new)))
+            out.append(SearchResult(r.doc_id, r.score, r.fields, why, cut, dict(new)))
         return out
 
     def search(self, query: str, options: SearchOptions = SearchOptions()) -> list[SearchResult]:
@@ -196,6 +250,19 @@ class SearchEngine:
             self.cache.put(key, out)
         return out
 
+    def search_by(self, query: str, ranker: str, k: int = 10) -> list[SearchResult]:
+        """The best k hits by a ranker of that name."""
+        return self.search(query, SearchOptions(ranker=ranker, max_results=k))
+
+    def search_rows(self, query: str, options: SearchOptions = SearchOptions()) -> dict:
+        """A page as a dict of JSON values: results, each a dict, and pagination."""
+        page = self.search_page(query, options)
+        rows = [asdict(r) | {"snippets": list(r.snippets)} for r in page.results]
+        pages = {"total_hits": page.total_hits, "offset": page.offset, "page_size": page.page_size, "has_next_page": page.has_next_page}
+        if page.results:
+            pages |= {"last_score": page.results[-1].score, "last_doc_id": page.results[-1].doc_id}
+        return {"query": query, "total_results": len(rows), "results": rows, "pagination": pages}
+
     def search_page(self, query: str, options: SearchOptions = SearchOptions()) -> Page:
         """A page of max_results hits, by offset, or behind (after_score, after_id) if both are given."""
         o = options
@@ -204,7 +271,7 @@ class SearchEngine:
             return Page([], 0, 0, 0, False)
         total, offset, after = found.count(), o.offset, None
         if o.after_score is not None and o.after_id is not None:
-            after = (o.after_score / fuzzy.penalty(len(new)), o.after_id)
+            after = (o.after_score, o.after_id)
             rest = (F.col("score") < after[0]) | ((F.col("score") == after[0]) & (F.col("doc_id") > after[1]))
             offset = total - found.where(rest).count()
         best = search.page(found, o.max_results, 0 if after else offset, after)
@@ -219,8 +286,15 @@ class SearchEngine:
 
     # snapshots and cache
 
-    def save(self, path: str) -> None:
-        snapshot.save(path, self.docs, self.postings, self._next_id)
+    def save(self, path: str) -> bool:
+        """False if nothing can be written there; what was saved there before stays until the new snapshot is whole."""
+        with self._lock:
+            docs, postings, next_id = self.docs, self.postings, self._next_id
+        try:
+            snapshot.save(path, docs, postings, next_id)
+        except (Py4JJavaError, PySparkException, snapshot.SnapshotError):
+            return False
+        return True
 
     def load(self, path: str) -> bool:
         """False, and nothing changes, if there is no snapshot."""
@@ -230,7 +304,7 @@ class SearchEngine:
             return False
         with self._lock:
             self._next_id = s.next_id
-            self._set(s.docs, s.postings)
+            self._set([Segment(s.docs, s.postings)])
         return True
 
     def clear_cache(self) -> None:

@@ -1,19 +1,26 @@
 """The inverted index as tables: docs, postings, terms, skip pointers and statistics.
 
 docs: doc_id, fields, text (all fields), lt (in ASCII lower case), tokens, term_count. postings: term, doc_id, tf, positions,
-one row for each term and document. Building is one explode and one hash aggregation; nothing is per row.
+one row for each term and document. A term's places in a document never leave the document, so building moves nothing: each
+Arrow batch of token lists is sorted by document and term at once, in numpy.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel import storage
 from quernel.functions import analysis
 from quernel.functions.analysis import AnalyzerConfig
 
+POSTINGS = "term string, doc_id long, tf int, positions array<int>"
+
 
 def with_fields(documents: DataFrame, **columns: str) -> DataFrame:
     """doc_id and fields, a map of the columns by field name; null values count as empty."""
@@ -27,11 +34,36 @@ def analyze(docs: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataF
     return text.withColumn("lt", analysis.ascii_lower("text")).withColumn("tokens", analysis.tokens("text", config)).withColumn("term_count", F.size("tokens").cast("long"))
 
 
+def postings_of_batch(ids: pa.Array, tokens: pa.Array) -> pa.RecordBatch:
+    """Postings of some documents, by document."""
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    key = row * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")  # places stay in order
+    at = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
+    ends = np.append(at, len(key)).astype(np.int32)
+    first = pa.array(order[at])
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([words.take(first).cast(pa.string()), ids.take(pa.array(row[order[at]])), pa.array(np.diff(ends)), positions], ["term", "doc_id", "tf", "positions"])
+
+
 def build_postings(docs: DataFrame) -> DataFrame:
-    """Postings of the docs table; positions ascend and start at 0."""
-    at = docs.select("doc_id", F.posexplode("tokens").alias("position", "term"))
-    out = at.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return out.select("term", "doc_id", "tf", "positions")
+    """Postings of the docs table, of which each document is one row; positions ascend and start at 0."""
+    storage.ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield postings_of_batch(b.column(0), b.column(1))
+
+    return docs.select("doc_id", "tokens").mapInArrow(run, POSTINGS)
+
+
+def by_term(postings: DataFrame) -> DataFrame:
+    """Laid out by term, so that a term's rows are in few row groups, by whose statistics a filter skips the others. Rows of
+    frequent terms spread over several parts."""
+    return postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
 def postings_of(postings: DataFrame, term: str) -> DataFrame:
@@ -42,11 +74,6 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.select("term").distinct()
 
 
-def term_table(postings: DataFrame) -> DataFrame:
-    """term, df, cf: the number of documents and of occurrences."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
-
-
 def document_frequency(docs: DataFrame) -> DataFrame:
     """term, df from the docs table: no positions, and partial counts leave little to shuffle."""
     return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -68,6 +95,19 @@ class Stats:
     df: dict[str, int] = field(default_factory=dict)
 
 
+def size_of(docs: DataFrame) -> tuple[int, float]:
+    """Number of documents and their average number of tokens."""
+    r = docs.agg(F.count("*").alias("n"), F.avg("term_count").alias("avgdl")).first()
+    return r.n, r.avgdl or 0.0
+
+
+def stats_of(postings: DataFrame, size: tuple[int, float], terms: list[str]) -> Stats:
+    """By the terms' postings alone."""
+    names = sorted(set(terms))
+    found = postings.where(F.col("term").isin(*names)).groupBy("term").agg(F.count("*").alias("df")).collect() if names else []  # a row per term
+    return Stats(*size, {t: 0 for t in names} | {r.term: r.df for r in found})
+
+
 def query_stats(docs: DataFrame, terms: list[str]) -> Stats:
     """One pass over the docs table."""
     names = sorted(set(terms))
@@ -121,6 +161,15 @@ def intersect(postings: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, "doc_id", "left_semi")
 
 
+def found_in(docs: DataFrame, postings: DataFrame, stats: Stats, most: int = 1_000_000) -> DataFrame:
+    """Documents that any of the terms of stats occurs in, by their postings. Ids are sent to the documents if there are at most so many."""
+    names = [t for t, df in stats.df.items() if df]
+    if not names:
+        return docs.limit(0)
+    ids = postings.where(F.col("term").isin(*names)).select("doc_id").distinct()
+    return docs.join(F.broadcast(ids) if sum(stats.df.values()) <= most else ids, "doc_id", "left_semi")
+
+
 def candidates(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that any of the terms occurs in."""
     return docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(set(terms)))))) if terms else docs.limit(0)

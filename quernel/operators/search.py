@@ -1,18 +1,20 @@
 """Ranked search: candidates, scores, top k, pages, explanations, and many queries at once.
 
 Candidates are the documents that any query term occurs in as a token; of these the ones that score over 0 are hits, in
-the order of score, then doc_id. A single query is a filter and a projection over the docs table with the statistics as
-literals, so its only exchange is that of the top k rows. Many queries are joins over the postings.
+the order of score, then doc_id. With postings, candidates are the documents of the terms' postings, and only their texts are
+read; without, a query is a filter and a projection over the docs table. Statistics are literals either way, so the
+exchanges are those of the top k rows and of ids. Many queries are joins over the postings.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernel import storage
 from quernel.functions.snippets import SnippetOptions, snippets
 from quernel.operators import index
 from quernel.operators.ranking import B, K1, Ranker, Registry, ScoreContext, bm25
@@ -42,11 +44,11 @@ def ranker_name(o: SearchOptions, registry: Registry) -> str:
     return registry.resolve(o.ranker) if o.ranker else "TF-IDF" if o.algorithm == "tf_idf" else registry.default
 
 
-def hits(docs: DataFrame, terms: list[str], stats: index.Stats, ranker: Ranker = bm25, k1: float = K1, b: float = B) -> DataFrame:
+def hits(docs: DataFrame, terms: list[str], stats: index.Stats, ranker: Ranker = bm25, k1: float = K1, b: float = B, postings: DataFrame | None = None) -> DataFrame:
     """Candidates that score over 0: the docs table with a column score."""
     score = ranker(ScoreContext(terms, stats, k1, b)).cast("double")
-    return index.candidates(docs, terms).withColumn("score", score).where("score > 0")
-
+    found = index.candidates(docs, terms) if postings is None else index.found_in(docs, postings, stats)
+    return found.withColumn("score", score).where("score > 0")
 
 
 def ordered(found: DataFrame) -> DataFrame:
@@ -97,12 +99,11 @@ def search_batch(spark: SparkSession, docs: DataFrame, postings: DataFrame, quer
     top k of each partition comes first, so no query's hits are sorted in one place.
     """
     rows = [(q, i, t) for q, text in enumerate(queries) for i, t in enumerate(extract_terms(text))]
-    size = docs.agg(F.count("*").alias("n"), F.avg("term_count").alias("avgdl")).first()
+    n, avgdl = index.size_of(docs)
     asked = spark.createDataFrame(rows, "qid int, ord int, term string")
     names = asked.select("term").distinct()
-    mine = postings.join(names, "term").select("term", "doc_id")
+    mine = storage.persist(postings.join(F.broadcast(names) if len(rows) <= 100_000 else names, "term").select("term", "doc_id"), "asked-postings")
     df = {r.term: r.df for r in mine.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row per query term
-    n, avgdl = size.n, size.avgdl or 0.0
     idf = [(q, i, t, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0)) for q, i, t in rows]
     weights = spark.createDataFrame(idf, "qid int, ord int, term string, idf double")
     pairs = mine.join(asked.select("qid", "term").distinct(), "term").select("qid", "doc_id").distinct()
@@ -119,7 +120,3 @@ def search_batch(spark: SparkSession, docs: DataFrame, postings: DataFrame, quer
     scores = each.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def with_offset(o: SearchOptions, offset: int) -> SearchOptions:
-    return replace(o, offset=offset)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +33,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The docs table of documents: content is the text, title the source."""
-    return index.analyze(index.with_fields(documents(spark, sf_dir), content="text", title="source"), config)
+    return index.analyze(index.with_fields(documents(spark, sf_dir), content="text", title="source"))
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.build_postings(docs(spark, sf_dir))
+@dataclass(frozen=True)
+class Index:
+    docs: DataFrame
+    postings: DataFrame
+    size: tuple[int, float]
+    grams: DataFrame
+
+
+_built: dict[tuple, Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of documents, written once for a session and folder and asked by all queries, as an engine's is; anew when files change."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(p)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in _built:
+        d = storage.persist(analyzed(spark, sf_dir), "docs")
+        p = storage.persist(index.by_term(index.build_postings(d)), "postings")
+        _built[key] = Index(d, p, index.size_of(d), storage.persist(fuzzy.ngram_index(index.vocabulary(p)), "grams"))
+    return _built[key]
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).docs
+
+
+def _hits(spark, sf_dir, terms=TERMS, ranker=ranking.bm25, **kw) -> DataFrame:
+    i = indexed(spark, sf_dir)
+    return search.hits(i.docs, terms, index.stats_of(i.postings, i.size, terms), ranker, postings=i.postings, **kw)
 
 
 def _scored(spark, sf_dir, terms=TERMS, ranker=ranking.bm25, **kw) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return search.hits(d, terms, index.query_stats(d, terms), ranker, **kw).select("doc_id", F.round("score", 6).alias("score"))
+    return _hits(spark, sf_dir, terms, ranker, **kw).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _best(spark, sf_dir, k=10, **kw) -> DataFrame:
@@ -122,12 +151,12 @@ def loader_term_count(spark, sf_dir):
 
 @query
 def build_postings(spark, sf_dir):
-    return postings(spark, sf_dir).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+    return index.build_postings(analyzed(spark, sf_dir)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
 
 
 @query
 def vocabulary(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.explode("tokens").alias("term")).distinct()
+    return index.vocabulary(indexed(spark, sf_dir).postings)
 
 
 @query
@@ -141,9 +170,7 @@ def index_stats(spark, sf_dir):
 
 
 def _postings_of(spark, sf_dir, *terms):
-    """The postings of some terms alone: the filter is on documents, before anything is exploded."""
-    d = docs(spark, sf_dir)
-    return index.build_postings(index.candidates(d, list(terms)).withColumn("tokens", F.col("tokens"))).where(F.col("term").isin(*terms))
+    return indexed(spark, sf_dir).postings.where(F.col("term").isin(*terms))
 
 
 @query
@@ -206,7 +233,7 @@ def index_upsert(spark, sf_dir):
 
 @query
 def snapshot_roundtrip(spark, sf_dir):
-    d = docs(spark, sf_dir)
+    d = analyzed(spark, sf_dir)
     path = f"{storage.workspace(spark)}/snapshot-query-{uuid.uuid4().hex}"
     snapshot.save(path, d, index.build_postings(d), next_id=0)
     back = snapshot.load(spark, path)
@@ -223,7 +250,8 @@ def candidates_any(spark, sf_dir):
 
 @query
 def query_stats(spark, sf_dir):
-    s = index.query_stats(docs(spark, sf_dir), TERMS)
+    i = indexed(spark, sf_dir)
+    s = index.stats_of(i.postings, i.size, TERMS)
     return spark.createDataFrame([(s.n, round(s.avgdl, 6), t, s.df[t]) for t in TERMS], "n long, avgdl double, term string, df long")
 
 
@@ -265,9 +293,10 @@ def search_ml(spark, sf_dir):
 
 @query
 def ml_features(spark, sf_dir):
-    d, terms = docs(spark, sf_dir), ["thing", "src1"]
-    f = ranking.features(ranking.ScoreContext(terms, index.query_stats(d, terms)))
-    return index.candidates(d, terms).select("doc_id", *[F.round(x, 6).alias(k) for k, x in f.items()])
+    i, terms = indexed(spark, sf_dir), ["thing", "src1"]
+    s = index.stats_of(i.postings, i.size, terms)
+    f = ranking.features(ranking.ScoreContext(terms, s))
+    return index.found_in(i.docs, i.postings, s).select("doc_id", *[F.round(x, 6).alias(k) for k, x in f.items()])
 
 
 @query
@@ -314,10 +343,8 @@ def browse_documents(spark, sf_dir):
 
 @query
 def search_batch(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    names = sorted({t for q in BATCH for t in extract_terms(q)})
-    p = index.candidates(d, names).select("doc_id", F.explode(F.array_intersect("tokens", F.array(*map(F.lit, names)))).alias("term"))
-    best = search.search_batch(spark, d, p, BATCH, k=3)
+    i = indexed(spark, sf_dir)
+    best = search.search_batch(spark, i.docs, i.postings, BATCH, k=3)
     return best.select(F.col("qid").cast("long").alias("qid"), "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -374,7 +401,7 @@ def osa_distance(spark, sf_dir):
 
 @query
 def fuzzy_matches(spark, sf_dir):
-    found = fuzzy.find_matches(fuzzy.ngram_index(_terms(spark, sf_dir)), "thinq")
+    found = fuzzy.find_matches(indexed(spark, sf_dir).grams, "thinq")
     return found.select("term", F.col("distance").cast("long").alias("distance"))
 
 
@@ -385,11 +412,9 @@ def prefix_expand(spark, sf_dir):
 
 @query
 def search_fuzzy(spark, sf_dir):
-    d, asked = docs(spark, sf_dir), ["thinq", "nicht"]
-    terms = _terms(spark, sf_dir)
-    new = fuzzy.expand(terms, fuzzy.ngram_index(terms), asked)
-    words = [new.get(t, t) for t in asked]
-    best = search.hits(d, words, index.query_stats(d, words)).withColumn("score", F.round(F.col("score") * fuzzy.penalty(len(new)), 6))
+    i, asked = indexed(spark, sf_dir), ["thinq", "nicht"]
+    new = fuzzy.expand(index.vocabulary(i.postings), i.grams, asked)
+    best = _hits(spark, sf_dir, [new.get(t, t) for t in asked]).withColumn("score", F.round(F.col("score") * fuzzy.penalty(len(new)), 6))
     return search.top_k(best.select("doc_id", "score"), 10)
 
 
@@ -426,7 +451,7 @@ def snippet_windows(spark, sf_dir):
 
 @query
 def search_snippets(spark, sf_dir):
-    best = search.search(docs(spark, sf_dir), QUERY, search.SearchOptions(snippets=True))
+    best = search.present(search.top_k(_hits(spark, sf_dir), 10), TERMS, "BM25", search.SearchOptions(snippets=True))
     return best.select("doc_id", F.round("score", 6).alias("score"), F.array_join("snippets", " | ").alias("snippets"))
 
 

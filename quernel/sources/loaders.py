@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quernel.functions.analysis import all_text, loader_term_count
 
 
-def _numbered(rows: DataFrame, first_id: int) -> DataFrame:
+def numbered(rows: DataFrame, first_id: int) -> DataFrame:
     """Consecutive ids in input order without bringing the rows to one place: counts by partition, then an offset for each."""
     at = rows.withColumn("_row", F.monotonically_increasing_id())
     at = at.withColumn("_part", F.shiftright("_row", 33))
@@ -36,7 +36,7 @@ def load_jsonl(spark: SparkSession, path: str, first_id: int = 1) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("value")))
     rows = lines.select(F.coalesce(fields, bad).alias("fields"))
     rows = rows.select(F.transform_values(F.map_filter("fields", lambda k, _: k != "id"), lambda _, v: F.coalesce(v, F.lit(""))).alias("fields"))
-    return _numbered(rows, first_id)
+    return numbered(rows, first_id)
 
 
 def load_csv(spark: SparkSession, path: str, columns: list[str], first_id: int = 1) -> DataFrame:
@@ -46,7 +46,7 @@ def load_csv(spark: SparkSession, path: str, columns: list[str], first_id: int =
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, quote='"', escape='"', mode="FAILFAST", multiLine=False)
     pairs = [x for c in columns if c != "id" for x in (F.lit(c), F.coalesce(F.col(c), F.lit("")))]
-    return _numbered(rows.select(F.create_map(*pairs).alias("fields") if pairs else F.create_map().cast("map<string,string>").alias("fields")), first_id)
+    return numbered(rows.select(F.create_map(*pairs).alias("fields") if pairs else F.create_map().cast("map<string,string>").alias("fields")), first_id)
 
 
 def create_documents(spark: SparkSession, fields: list[dict[str, str]], first_id: int = 1) -> DataFrame:
@@ -65,4 +65,4 @@ def load_piped(spark: SparkSession, path: str, first_id: int = 1) -> DataFrame:
     """title|content lines."""
     parts = F.split("value", "\\|", 2)
     rows = spark.read.text(path).where("value <> ''").select(F.create_map(F.lit("title"), parts[0], F.lit("content"), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("fields"))
-    return _numbered(rows, first_id)
+    return numbered(rows, first_id)

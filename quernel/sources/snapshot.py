@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernel.operators.index import by_term
+
 FORMAT, VERSION = "quernel-index", 2
 MANIFEST = "format string, version int, tables string, next_id long, documents long, terms long"
 
@@ -37,8 +39,7 @@ def save(path: str, docs: DataFrame, postings: DataFrame, next_id: int = 1) -> N
     name = f"tables-{uuid.uuid4().hex}"
     inputs = [*docs.inputFiles(), *postings.inputFiles()]
     docs.write.parquet(f"{path}/{name}/docs")
-    # by term, so that a term's rows are in few row groups, whose statistics a filter skips by
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/{name}/postings")
+    by_term(postings).write.parquet(f"{path}/{name}/postings")
     back = spark.read.parquet(f"{path}/{name}/postings")
     row = (FORMAT, VERSION, name, next_id, spark.read.parquet(f"{path}/{name}/docs").count(), back.select("term").distinct().count())
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.json(f"{path}/{name}/manifest")
