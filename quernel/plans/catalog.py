@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from quernel import storage
 from quernel.functions import analysis, edit_distance, snippets
 from quernel.functions.analysis import AnalyzerConfig
 from quernel.operators import fuzzy, index, ranking, search, structured
-from quernel.plans.parser import extract_terms, normalize_query
+from quernel.plans.parser import extract_terms
 from quernel.sources import loaders, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,13 +349,22 @@ def search_batch(spark, sf_dir):
     return best.select(F.col("qid").cast("long").alias("qid"), "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-# query strings
+# query strings: those of the list, and the turns of all conversations
+
+
+def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    said = turns.select(F.concat_ws("/", "conv_id", "turn").alias("qid"), F.col("text").alias("q"))
+    return said.unionByName(spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(QUERY_STRINGS)], "qid string, q string"))
 
 
 @query
 def extract_terms_of(spark, sf_dir):
-    rows = [(i, " ".join(extract_terms(q))) for i, q in enumerate(QUERY_STRINGS)]
-    return spark.createDataFrame(rows, "qid long, terms string")
+    @F.pandas_udf("string")
+    def run(queries: pd.Series) -> pd.Series:
+        return queries.map(lambda q: " ".join(extract_terms(q or "")))
+
+    return query_strings(spark, sf_dir).select("qid", run("q").alias("terms"))
 
 
 QUERIES["extract_terms"] = QUERIES.pop("extract_terms_of")
@@ -362,9 +372,7 @@ QUERIES["extract_terms"] = QUERIES.pop("extract_terms_of")
 
 @query
 def normalize_query_of(spark, sf_dir):
-    q = spark.createDataFrame(list(enumerate(QUERY_STRINGS)), "qid long, q string")
-    assert [normalize_query(x) for x in QUERY_STRINGS[:2]] == ["hello, world!", "hello world"]
-    return q.select("qid", analysis.normalize_query("q").alias("normalized"))
+    return query_strings(spark, sf_dir).select("qid", analysis.normalize_query("q").alias("normalized"))
 
 
 QUERIES["normalize_query"] = QUERIES.pop("normalize_query_of")
@@ -395,7 +403,7 @@ def auto_edit_distance(spark, sf_dir):
 
 @query
 def osa_distance(spark, sf_dir):
-    pairs = spark.createDataFrame(EDIT_PAIRS, "a string, b string")
+    pairs = spark.createDataFrame(EDIT_PAIRS, "a string, b string").unionByName(_terms(spark, sf_dir).select(F.lit("thinq").alias("a"), F.col("term").alias("b")))
     return pairs.select("a", "b", edit_distance.osa_distance("a", "b").cast("long").alias("distance"))
 
 
@@ -426,12 +434,6 @@ def highlight(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", snippets.highlight("text", TERMS).alias("marked"))
 
 
-@query
-def snippets_short(spark, sf_dir):
-    short = documents(spark, sf_dir).where("length(text) BETWEEN 1 AND 150")
-    return short.select("doc_id", F.get(snippets.snippets("text", TERMS), F.lit(0)).alias("snippet"))
-
-
 @query
 def snippets_all(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", snippets.snippets("text", TERMS).alias("snippets"))

@@ -139,10 +139,12 @@ x AS (SELECT g.qid, a.doc_id, len(tokens) AS dl, n, avgdl, df, (length(lt) - len
 r AS (SELECT qid, doc_id, {bm25()} AS score FROM x GROUP BY qid, doc_id),
 k AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
 SELECT qid, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 3"""
-_strings = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(QUERY_STRINGS))
+_strings = ", ".join("('q{}', '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(QUERY_STRINGS))
+_asking = f"(SELECT conv_id || '/' || turn AS qid, text AS s FROM conversations UNION ALL SELECT * FROM (VALUES {_strings}) AS x(qid, s))"
+#: for strings without quotes, as they are here
 SQL["extract_terms"] = rf"""SELECT qid, array_to_string(list_filter(regexp_extract_all({lower("s")}, '[^\s!-/:-@\[-`{{-~]+'), lambda w: w NOT IN ('and', 'or', 'not')), ' ') AS terms
-FROM (VALUES {_strings}) AS x(qid, s)"""
-SQL["normalize_query"] = rf"SELECT qid, trim(regexp_replace({lower('s')}, '\s+', ' ', 'g')) AS normalized FROM (VALUES {_strings}) AS x(qid, s)"
+FROM {_asking}"""
+SQL["normalize_query"] = rf"SELECT qid, trim(regexp_replace({lower('s')}, '\s+', ' ', 'g')) AS normalized FROM {_asking}"
 GRAMS = "list_transform(range(1, length(term) + 2), lambda i: substring('^' || term || '$', i, 2))"
 SQL["ngrams"] = f"WITH {A}, {V} SELECT term, generate_subscripts(g, 1) - 1 AS pos, unnest(g) AS ngram FROM (SELECT term, {GRAMS} AS g FROM v)"
 SQL["ngram_index"] = f"WITH {A}, {V} SELECT ngram, count(*) AS terms FROM (SELECT DISTINCT term, unnest({GRAMS}) AS ngram FROM v) GROUP BY ngram"
@@ -163,7 +165,7 @@ def osa(a: str, b: str) -> str:
 
 
 _pairs = ", ".join(f"('{a}', '{b}')" for a, b in EDIT_PAIRS)
-SQL["osa_distance"] = f"SELECT a, b, {osa('a', 'b')} AS distance FROM (VALUES {_pairs}) AS x(a, b)"
+SQL["osa_distance"] = f"WITH {A}, {V}, x AS (SELECT * FROM (VALUES {_pairs}) AS y(a, b) UNION ALL SELECT 'thinq', term FROM v) SELECT a, b, {osa('a', 'b')} AS distance FROM x"
 NEAR = f"""w AS (SELECT unnest(list_transform(range(1, 7), lambda i: substring('^thinq$', i, 2))) AS ngram),
 g AS (SELECT DISTINCT term, unnest({GRAMS}) AS ngram FROM v),
 n AS (SELECT term FROM g JOIN w ON g.ngram = w.ngram WHERE abs(length(term) - 5) <= 2 GROUP BY term),
@@ -176,7 +178,6 @@ SQL["search_fuzzy"] = ranked(bm25(), _asked, factor="0.9")
 MARKED = r"""array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-z0-9'']+|[^A-Za-z0-9'']+'),
   lambda w: CASE WHEN {w} IN ('thing', 'nicht') THEN '<mark>' || w || '</mark>' ELSE w END), '')""".format(t="text", w=lower("w"))
 SQL["highlight"] = f"SELECT doc_id, {MARKED} AS marked FROM documents"
-SQL["snippets_short"] = f"SELECT doc_id, {MARKED} AS snippet FROM documents WHERE length(text) BETWEEN 1 AND 150"
 SQL["bool_and"] = f"WITH {A} SELECT doc_id FROM a WHERE list_contains(tokens, 'thing') AND list_contains(tokens, 'attion')"
 SQL["bool_or"] = f"WITH {A} SELECT doc_id FROM a WHERE list_contains(tokens, 'thing') OR list_contains(tokens, 'nicht')"
 SQL["bool_not"] = f"WITH {A} SELECT doc_id FROM a WHERE list_contains(tokens, 'thing') AND NOT list_contains(tokens, 'attion')"
