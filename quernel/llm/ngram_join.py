@@ -3,8 +3,9 @@
 A T-occurrence search in which every document is a query. DivideSkip leaves a query's T - 1 longest inverted lists
 out of the merge (T: the overlap that the threshold requires), so a partner must occur in a short list:
 
-1. Divide: the length of every list is counted over the whole corpus. The longest are kept in a table of fixed size
-   that only sets an order, so neither its size nor hash collisions change the result.
+1. Divide: the length of every list is counted over the whole corpus. Classes of length of all lists of 8 or more are kept
+   in a table of fixed size that only sets an order, so neither its size nor hash collisions change the result. It has no
+   least length that rises with the corpus: lists that it left out would be taken for short ones and make crowds.
 2. Every document posts its |x| - T + SHORT shortest lists, front-coded in sorted blobs. Documents with equal sets post
    as one. A merge task takes a range of n-grams. In a list of up to CROWD documents it counts each pair that differs little
    enough in size. What a pair shares apart from these lists is at most what either has in longer ones; if that can't fill
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from quernel.llm import _spark, _text
 
 N, THRESHOLD = 3, 0.5
-#: Bits of an n-gram's hash, grams that are sorted at once, documents of a cell, list lengths that are kept.
-BITS, FLUSH, CELL, KEPT = 40, 2 << 20, 4000, 1 << 18
+#: Bits of an n-gram's hash, grams that are sorted at once, documents of a cell, bits of a hash that have a list length.
+BITS, FLUSH, CELL, SLOTS = 40, 2 << 20, 4000, 25
 SHORT = 3
 #: Documents of a list whose pairs are counted.
 CROWD = 32
@@ -132,8 +133,15 @@ def cuts(sorted_keys: np.ndarray, parts: int, bits: int) -> list[int]:
     return [0, *np.searchsorted(sorted_keys, np.array(edges, np.uint64)).tolist(), len(sorted_keys)]
 
 
+def length_class(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class of length of each n-gram's list in a table of list_lengths()."""
+    slot = grams >> _U(BITS - SLOTS)
+    return (table[slot >> _U(1)].astype(np.uint64) >> ((slot & _U(1)) << _U(2))) & _U(15)
+
+
 def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
-    """Class of length (log2) of the longest list in each of 2**24 ranges of hashes, 0 for short ones; counted over all documents."""
+    """Class of length of the longest list in each of 2**SLOTS ranges of hashes, two to a byte; counted over all documents. The class
+    is 0 under 8 documents, then one more for each doubling, 15 at most."""
 
     def count(batches):
         pending, size = [], 0
@@ -173,14 +181,19 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             times = np.add.reduceat((x & _U(0xFFFFFF)).astype(np.int64), at)
             long = np.flatnonzero(times >= 8)
-            long = long[np.argsort(-times[long], kind="stable")[: 2 * KEPT // parts]]
-            yield pa.RecordBatch.from_arrays([pa.array(g[at][long].astype(np.int64)), pa.array(times[long])], ["gram", "times"])
+            slot = (g[at[long]] >> _U(32 - SLOTS)).astype(np.int64)
+            low = int(slot[0]) if len(slot) else 0
+            table = np.zeros(int(slot[-1]) - low + 1 if len(slot) else 0, np.uint8)
+            np.maximum.at(table, slot - low, np.minimum(np.log2(times[long]) - 2, 15).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([pack(table.tobytes(), len(table))], pa.binary())], ["low", "classes"])
 
     blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartitionById(parts, F.col("part"))
-    found = blobs.mapInArrow(_text.tidy(top), "gram long, times long").toArrow()
-    table = np.zeros(1 << 24, np.uint8)
-    np.maximum.at(table, found["gram"].to_numpy() >> 8, np.log2(found["times"].to_numpy()).astype(np.uint8))
-    return table
+    found = blobs.mapInArrow(_text.tidy(top), "low long, classes binary").toArrow()
+    table = np.zeros(1 << SLOTS, np.uint8)
+    for low, blob in zip(found["low"].to_pylist(), found["classes"]):
+        x = np.frombuffer(unpack(blob.as_py())[2], np.uint8)
+        np.maximum(table[low : low + len(x)], x, out=table[low : low + len(x)])  # parts may share a slot at their edges
+    return table[::2] | table[1::2] << 4
 
 
 def divide_skip(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -245,6 +258,15 @@ def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
     parts = max(4, -(-(docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // PART_CHARS))
     classes = spark.sparkContext.broadcast(list_lengths(docs, n, parts))
 
+    def identify(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for w in _text.words(b.column(1)):
+                key, first = gram_sets(w, n)
+                size = np.diff(first)
+                full = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[w.lo + full]), pa.array(set_ids(key, first)[full].view(np.int64)), pa.array(size[full])], ["doc_id", "sid", "size"])
+
     def post(batches):
         keys, sids, sizes, held, count = [], [], [], 0, 0
 
@@ -252,36 +274,27 @@ def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
             x, table, length = np.concatenate(keys), np.concatenate(sids), np.concatenate(sizes)
             x.sort()
             edges = cuts(x >> _U(24), parts, BITS)
-            rows, blobs = [], []
+            at_parts, blobs = [], []
             for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if b > a:  # a blob has the documents of its own postings
                     who, at = np.unique(x[a:b] & _U(0xFFFFFF), return_inverse=True)
                     body = planes(np.diff(x[a:b] >> _U(24), prepend=_U(0)), 5) + planes(at.astype(np.uint64), 3)
                     who = who.astype(np.int64)
-                    rows.append((p, a, b))
+                    at_parts.append(p)
                     blobs.append(pack(body + planes(table[who], 8) + planes(length[who], 4), b - a, len(who)))
-            m = len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _, _ in rows], pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(m, pa.int64())] * 3], names
-            )
+            return pa.RecordBatch.from_arrays([pa.array(at_parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-        names = ["part", "blob", "doc_id", "sid", "size"]
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for w in _text.words(b.column(1)):
+            for w in _text.words(b.column(0)):
                 key, first = gram_sets(w, n)
                 size, sid = np.diff(first), set_ids(key, first)
                 row, g = key >> _U(BITS), key & _MASK
-                full = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.binary()), pa.array(ids[w.lo + full]), pa.array(sid[full].view(np.int64)), pa.array(size[full])], names
-                )
                 _, once = np.unique(sid, return_index=True)  # equal sets of one piece post once
                 take = np.zeros(len(size), np.int64)
                 take[once] = prefix_sizes(size, threshold)[once]
                 # among lists of one class the order is one of hashes, other than that which merge tasks go by
                 other = (g * _U(0x9E3779B97F4A7C15)) & _MASK
-                order = np.argsort((row << _U(BITS + 8)) | (classes.value[g >> _U(BITS - 24)].astype(np.uint64) << _U(BITS)) | other)
+                order = np.argsort((row << _U(BITS + 8)) | (length_class(classes.value, g) << _U(BITS)) | other)
                 rank = np.arange(len(key)) - first[row.astype(np.int64)]
                 chosen = order[rank < take[row.astype(np.int64)]]
                 keys.append((g[chosen] << _U(24)) | (row[chosen] + _U(held)))
@@ -387,12 +400,12 @@ def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
                     CELLS,
                 )
 
-    posted, posted_path = _spark.cut(docs.mapInArrow(_text.tidy(post), "part int, blob binary, doc_id long, sid long, size long"), "postings")
-    met = posted.where("part IS NOT NULL").select("part", "blob").repartitionById(parts, F.col("part")).mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
+    # the postings are the bulk of what is written, so they go from task to task without a table of their own
+    posted = docs.select("text").mapInArrow(_text.tidy(post), "part int, blob binary").repartitionById(parts, F.col("part"))
+    met = posted.mapInArrow(_text.tidy(meet), "a long, b long, times long, need long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"), F.max(F.col("need").isNull()).alias("crowd"))
     met, met_path = _spark.cut(met.where("a <> b AND (crowd OR times >= need)").select("a", "b"), "met")
-    known, known_path = _spark.cut(posted.where("part IS NULL").select("doc_id", "sid", "size").distinct(), "sets")
-    _spark.drop(spark, posted_path)
+    known, known_path = _spark.cut(docs.mapInArrow(_text.tidy(identify), "doc_id long, sid long, size long").distinct(), "sets")
     first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
     lowest = met.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "a")

@@ -54,6 +54,17 @@ def slow_pairs(rows, n=3, t=0.5):
     return out
 
 
+def test_all_long_lists_have_a_length(spark):
+    """However many lists of 8 documents or more there are, none is taken for a short one; those of one document nearly all are."""
+    common, own = [f"a{k}" for k in range(600_000)], [f"b{k}" for k in range(50_000)]
+    docs = documents(spark, [*((k, " ".join(common)) for k in range(8)), (8, " ".join(own))])
+    _spark.session(docs)
+    table = ngram_join.list_lengths(docs, 3, 4)
+    long, short = (ngram_join.gram_sets(next(_text.words(pa.array([" ".join(w)]))), 3)[0] & ngram_join._MASK for w in (common, own))
+    assert len(long) > 1 << 19 and ngram_join.length_class(table, long).min() == 1
+    assert (ngram_join.length_class(table, short) == 0).mean() > 0.95
+
+
 def slow_links(rows, n=3, t=0.5):
     """doc_id: (class_id, links) by comparing all texts."""
     sets = {}
