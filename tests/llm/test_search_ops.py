@@ -1,5 +1,6 @@
 """N-gram join, suffix dedup, decontamination, license scan and embedding dedup against brute force."""
 
+import pathlib
 import random
 from types import SimpleNamespace
 
@@ -65,6 +66,24 @@ def test_all_long_lists_have_a_length(spark):
     assert (ngram_join.length_class(table, short) == 0).mean() > 0.95
 
 
+def test_postings_are_not_written_to_tables(spark, monkeypatch):
+    """The second stage of the pipeline holds its postings once, in a shuffle: no table that it writes has as much as a byte an n-gram."""
+    import corpus_pipeline
+
+    written, cut = {}, _spark.cut
+
+    def watched(df, name):
+        out, path = cut(df, name)
+        written[name] = sum(f.stat().st_size for f in pathlib.Path(path.removeprefix("file://")).glob("*.parquet"))
+        return out, path
+
+    monkeypatch.setattr(_spark, "cut", watched)
+    docs = documents(spark, [(k, prose(k, 4000)) for k in range(30)])
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 30
+    assert max(written.values()) < 30 * 4000
+    assert {"met", "sets"} <= set(written)
+
+
 def slow_links(rows, n=3, t=0.5):
     """doc_id: (class_id, links) by comparing all texts."""
     sets = {}
