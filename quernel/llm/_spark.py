@@ -106,9 +106,11 @@ class Meeting:
                 if c < key[0]:
                     names.setdefault(c, []).append(k)
         names = {c: x for c, x in names.items() if len(x) > 1}
-        self.before = np.zeros((len(cells), len(names)), bool)
+        # a bit for each smaller cell, as their number rises with that of all cells and each pair reads a row
+        before = np.zeros((len(cells), -(-len(names) // 64) * 8), np.uint8)
         for k, x in enumerate(names.values()):
-            self.before[x, k] = True
+            before[x, k >> 3] |= np.uint8(1 << (k & 7))
+        self.before = before.view(np.uint64)
 
     def first(self, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the pairs of i (a number, or as many as j) with each of j count here."""
@@ -118,7 +120,8 @@ class Meeting:
         if not self.before.shape[1]:
             return ok
         if np.ndim(i) == 0:
-            return ok & ~self.before[np.ix_(j, np.flatnonzero(self.before[i]))].any(axis=1)
+            some = np.flatnonzero(self.before[i])
+            return ok & ~(self.before[np.ix_(j, some)] & self.before[i, some]).any(axis=1)
         for at in range(0, len(j), 1 << 14):
             part = slice(at, at + (1 << 14))
             ok[part] &= ~(self.before[i[part]] & self.before[j[part]]).any(axis=1)

@@ -66,6 +66,19 @@ def test_all_long_lists_have_a_length(spark):
     assert (ngram_join.length_class(table, short) == 0).mean() > 0.95
 
 
+def test_meeting_with_many_cells():
+    """Pairs count where no smaller cell has both; what is read for a pair is a bit for each smaller cell."""
+    rng = np.random.default_rng(1)
+    cells = [[5000, *rng.choice(2000, 12, replace=False).tolist()] for _ in range(400)]
+    here = _spark.Meeting((5000, 0), np.zeros(400, np.int64), cells)
+    i, j = (x.ravel() for x in np.triu_indices(400, 1))
+    want = np.array([not set(cells[a]) & set(cells[b]) - {5000} for a, b in zip(i.tolist(), j.tolist())])
+    assert 0 < want.sum() < len(want)
+    assert (here.first(i, j) == want).all()
+    assert (here.first(7, j[i == 7]) == want[i == 7]).all()
+    assert here.before.nbytes <= 400 * (2000 / 8 + 8)
+
+
 def test_postings_are_not_written_to_tables(spark, monkeypatch):
     """The second stage of the pipeline holds its postings once, in a shuffle: no table that it writes has as much as a byte an n-gram."""
     import corpus_pipeline
