@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import pickle
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from quernel.llm import _text
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bits of a hash that have a place in the table of marks().
+MARKS = 27
+#: Rows that are sent to all tasks at most.
+FEW = 1_000_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -40,11 +45,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside are removed when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes the frame to the shared folder and reads it again: cuts lineage, outlives lost executors."""
+    """Writes the frame to the shared folder and reads it again: cuts lineage, outlives lost executors, and frees the frame's shuffle files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -54,7 +75,7 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def matching(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+def matching(df: DataFrame, ids: DataFrame, key: str, most: int = FEW) -> DataFrame:
     """Inner join with ids, whose rows are sent to all tasks if there are no more than most of them, so that df stays where it is."""
     rows = ids.limit(most + 1).collect()
     if len(rows) > most:
@@ -62,6 +83,53 @@ def matching(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, ids.schema)), key)
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't in ids, a written table of one column; rows with a null key stay. No more than FEW ids are
+    sent to all tasks, so that df stays where it is; more are joined by shuffling."""
+    gone = fresh(df, "gone")
+    rows = ids.limit(FEW + 1).count()
+    ids = ids.toDF(gone)
+    return df.join(F.broadcast(ids) if rows <= FEW else ids, df[key] == F.col(gone), "left_anti")
+
+
+def mark_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place in the table of marks() of pairs of numbers."""
+    return _text.mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) >> np.uint64(64 - MARKS)
+
+
+def marks(pairs: DataFrame, parts: int) -> np.ndarray:
+    """A bit for each place of mark_slots(), set where some row of pairs (two longs) is: 16 MB at any size. A set bit may be another pair's."""
+
+    def place(batches):
+        for b in batches:
+            slot = np.unique(mark_slots(b.column(0).to_numpy(), b.column(1).to_numpy())).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(((slot * parts) >> MARKS).astype(np.int32)), pa.array(slot)], ["part", "slot"])
+
+    def gather(batches):
+        slots = [b.column(1).to_numpy() for b in batches]
+        slots = np.unique(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
+        if len(slots):
+            low = int(slots[0]) >> 3
+            bits = np.zeros((int(slots[-1]) >> 3) - low + 1, np.uint8)
+            np.bitwise_or.at(bits, (slots >> 3) - low, np.uint8(1) << (slots & 7).astype(np.uint8))
+            blob = pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([len(bits)]), pa.array([blob], pa.binary())], ["low", "size", "bits"])
+
+    with freed(pairs.sparkSession):
+        placed = pairs.mapInArrow(_text.tidy(place), "part int, slot long").repartitionById(parts, F.col("part"))
+        found = placed.mapInArrow(_text.tidy(gather), "low long, size long, bits binary").toArrow()
+    table = np.zeros(1 << (MARKS - 3), np.uint8)
+    for low, size, blob in zip(found["low"].to_pylist(), found["size"].to_pylist(), found["bits"].to_pylist()):
+        table[low : low + size] |= np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return table
+
+
+def marked(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair's bit is set in a table of marks()."""
+    slot = mark_slots(a, b)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or one made of it that no column of df has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

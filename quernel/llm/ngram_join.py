@@ -40,7 +40,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +53,6 @@ SHORT = 3
 CROWD = 32
 #: Characters of the corpus for each merge task.
 PART_CHARS = 32 << 20
-CELLS = ["cell", "sub", "bucket", "cells", "doc_id", "sid", "copies", "grams"]
 _MASK = np.uint64((1 << BITS) - 1)
 _U = np.uint64
 
@@ -187,8 +185,9 @@ def list_lengths(docs: DataFrame, n: int, parts: int) -> np.ndarray:
             np.maximum.at(table, slot - low, np.minimum(np.log2(times[long]) - 2, 15).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([pack(table.tobytes(), len(table))], pa.binary())], ["low", "classes"])
 
-    blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartitionById(parts, F.col("part"))
-    found = blobs.mapInArrow(_text.tidy(top), "low long, classes binary").toArrow()
+    with _spark.freed(docs.sparkSession):
+        blobs = docs.select("text").mapInArrow(_text.tidy(count), "part int, blob binary").repartitionById(parts, F.col("part"))
+        found = blobs.mapInArrow(_text.tidy(top), "low long, classes binary").toArrow()
     table = np.zeros(1 << SLOTS, np.uint8)
     for low, blob in zip(found["low"].to_pylist(), found["classes"]):
         x = np.frombuffer(unpack(blob.as_py())[2], np.uint8)
@@ -372,33 +371,14 @@ def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
 
     def carry(batches):
         for b in batches:
-            wanted = b.column(2).to_numpy().view(np.uint64)
-            ids, copies, cells = b.column(0).to_numpy(), b.column(3).to_numpy(), b.column(4)
+            ids = b.column(0).to_numpy()
             for w in _text.words(b.column(1)):
                 key, first = gram_sets(w, n)
                 sid = set_ids(key, first)
-                own = np.flatnonzero(sid == wanted[w.lo : w.hi])
-                if not len(own):
-                    continue
-                lists = cells.take(pa.array(w.lo + own))
-                row, cell = own[pc.list_parent_indices(lists).to_numpy()], lists.flatten()
-                # the cells of a row go with each copy of it, as the place of a pair is the least that both have
-                every = pa.array([sorted({c["cell"] for c in x}) for x in lists.to_pylist()], pa.list_(pa.int64()))
-                blob = [planes(key[first[r] : first[r + 1]] & _MASK, 5) for r in own]
-                back = pc.list_parent_indices(lists)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pc.struct_field(cell, "cell"),
-                        pc.struct_field(cell, "sub"),
-                        pc.struct_field(cell, "bucket"),
-                        every.take(back),
-                        pa.array(ids[w.lo + row]),
-                        pa.array(sid[row].view(np.int64)),
-                        pa.array(copies[w.lo + row]),
-                        pa.array(blob, pa.binary()).take(back),
-                    ],
-                    CELLS,
-                )
+                own = np.flatnonzero((sid != 0) & _spark.marked(wanted_bits.value, ids[w.lo : w.hi], sid))
+                if len(own):
+                    blob = [planes(key[first[r] : first[r + 1]] & _MASK, 5) for r in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[w.lo + own]), pa.array(sid[own].view(np.int64)), pa.array(blob, pa.binary())], ["doc_id", "sid", "grams"])
 
     # the postings are the bulk of what is written, so they go from task to task without a table of their own
     posted = docs.select("text").mapInArrow(_text.tidy(post), "part int, blob binary").repartitionById(parts, F.col("part"))
@@ -412,10 +392,16 @@ def _cells(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
     cell = met.join(lowest, "a", "left").select(F.coalesce("low", "a").alias("cell"), "a", "b")
     member = cell.select("cell", F.explode(F.array("a", "b")).alias("sid")).distinct()
     cells = _spark.triangles(member, "cell", "sid", CELL)
-    wanted = first.join(cells, "sid").select("doc_id", "sid", "copies", "cells")
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "sid", "copies", "cells")
-    sets = sets.mapInArrow(_text.tidy(carry), "cell long, sub long, bucket long, cells array<long>, doc_id long, sid long, copies long, grams binary")
-    return known, sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid"), [met_path, known_path]
+    wanted, wanted_path = _spark.cut(first.join(cells, "sid").select("doc_id", "sid", "copies", "cells"), "wanted")
+    _spark.drop(spark, met_path)
+    # n-grams of the wanted documents alone are shuffled, no texts
+    wanted_bits = spark.sparkContext.broadcast(_spark.marks(wanted.select("doc_id", "sid"), parts))
+    sets = docs.mapInArrow(_text.tidy(carry), "doc_id long, sid long, grams binary").join(wanted, ["doc_id", "sid"])
+    # the cells of a row go with each copy of it, as the place of a pair is the least that both have
+    every = F.array_sort(F.array_distinct("cells.cell")).alias("every")
+    sets = sets.select(F.explode("cells").alias("c"), every, "doc_id", "sid", "copies", "grams")
+    sets = sets.select("c.cell", "c.sub", "c.bucket", F.col("every").alias("cells"), "doc_id", "sid", "copies", "grams")
+    return known, sets.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "sid"), [wanted_path, known_path]
 
 
 def _search(sets: DataFrame, threshold: float, as_pairs: bool) -> DataFrame:
@@ -485,9 +471,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs but for those whose doc_id is in a class and not its smallest; rows with a null doc_id stay, and so do all columns, whatever their names."""
-    gone = _spark.fresh(docs, "gone")
-    out = linked(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
-    return docs.join(out, docs["doc_id"] == F.col(gone), "left_anti")
+    return _spark.without(docs, linked(docs, n, threshold).where("doc_id <> class_id").select("doc_id"), "doc_id")
 
 
 SQL_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"

@@ -36,6 +36,13 @@ def prose(seed, n):
     return " ".join(words(random.Random(seed), n))
 
 
+def shuffled(spark):
+    """Shuffle files of now, with their bytes."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(k) for k in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
 def odd(spark):
     """Null ids and texts, empty, white, very long and repeated rows, and an extra column of a clashing name."""
     from pyspark.sql import functions as F

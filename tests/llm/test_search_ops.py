@@ -1,7 +1,9 @@
 """N-gram join, suffix dedup, decontamination, license scan and embedding dedup against brute force."""
 
+import contextlib
 import pathlib
 import random
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernel.llm import _spark, _text, decontaminate, embedding_dedup, licenses, ngram_join, suffix_dedup
-from tests.llm.helpers import documents, odd, prose, words
+from tests.llm.helpers import documents, odd, prose, shuffled, words
 
 
 def split(t):
@@ -97,6 +99,61 @@ def test_postings_are_not_written_to_tables(spark, monkeypatch):
     assert {"met", "sets"} <= set(written)
 
 
+def long_words(n, docs):
+    """Documents of which the text takes far more than the n-grams."""
+    rng = random.Random(3)
+    return [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60)) for _ in range(n))) for k in range(docs)]
+
+
+def test_near_copies_without_a_shuffle_of_texts(spark, monkeypatch):
+    """The second stage of the pipeline shuffles n-grams, no texts, where tables are too large to be sent to all tasks by themselves."""
+    import corpus_pipeline
+
+    rows = long_words(1000, 60)
+    rows += [(100 + k, text + " more") for k, text in rows[:5]]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(_spark, "freed", lambda spark: contextlib.nullcontext(), raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = shuffled(spark)
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(60))
+        assert 0 < sum(n for name, n in shuffled(spark).items() if name not in old) < 0.6 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffles_are_freed(spark):
+    """What was shuffled for a written table doesn't stay on disk until the driver's garbage is collected."""
+    df, old = spark.range(50_000).repartition(5), shuffled(spark)
+    out, _ = _spark.cut(df, "numbers")
+    for _ in range(30):
+        left = sum(n for name, n in shuffled(spark).items() if name not in old)
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == 0 and out.count() == df.count() == 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_marks(spark):
+    """The bits of all rows are set, and hardly any others."""
+    _spark.session(spark.range(1))
+    a, b = np.arange(-500, 500), np.arange(1000) ** 3
+    table = _spark.marks(spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long"), 7)
+    assert table.nbytes == 1 << 24 and _spark.marked(table, a, b).all()
+    assert _spark.marked(table, a, b + 1).sum() <= 1
+    assert not _spark.marks(spark.createDataFrame([], "a long, b long"), 7).any()
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_without(spark, monkeypatch, few):
+    monkeypatch.setattr(_spark, "FEW", few)
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, gone string")
+    got = _spark.without(docs, spark.createDataFrame([(1,), (3,), (9,)], "doc_id long"), "doc_id")
+    assert got.columns == docs.columns and sorted(r.gone for r in got.collect()) == ["b", "d"]
+
+
 def slow_links(rows, n=3, t=0.5):
     """doc_id: (class_id, links) by comparing all texts."""
     sets = {}
