@@ -123,34 +123,44 @@ def _plan(docs: DataFrame, weights: dict | None, block_chars: int, resolution: i
     return sources, *phases(k, blocks, whole)
 
 
-def _scheduled(docs: DataFrame, weights, block_chars, resolution, temperature, seed, whole) -> tuple[DataFrame, int]:
-    """The columns of docs as c0, c1, ..., so that no name clashes with one of those made here, with _block, _slot and _start; and the number of slots."""
+def _keyed(docs: DataFrame, sources: list[tuple], seed: int) -> DataFrame:
+    """The columns of docs as c0, c1, ..., so that no name clashes with one of those made here; _h, _hash and the id are the order
+    within a source, _bucket rises with _h. The sources are sent to all tasks: a join by source would shuffle all texts."""
     spark = _spark.session(docs)
-    sources, ranges, table, end = _plan(docs, weights, block_chars, resolution, temperature, whole)
-    src = spark.createDataFrame(sources, "_name string, _index long, _blocks long, _buckets long")
-    # as large as the sources are many, whatever their size
-    ranges = F.broadcast(spark.createDataFrame(ranges, "_phase long, _in long, _before long, _upto long, _first long, _units long, _size long"))
-    slots = F.broadcast(spark.createDataFrame(table, "_phase long, _index long, _nth long, _in_period long"))
+    src = F.broadcast(spark.createDataFrame(sources, "_name string, _index long, _blocks long, _buckets long"))
     id, text, source = (f"c{_place(docs, name)}" for name in ("doc_id", "text", "source"))
     x = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     x = x.withColumn("_hash", F.xxhash64(F.lit(seed), id, text)).withColumn("_chars", F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    x = x.withColumn("_h", F.shiftrightunsigned("_hash", 11)).withColumn("_at", F.monotonically_increasing_id())
     x = x.join(src, F.col(source).cast("string").eqNullSafe(F.col("_name")), "left")
-    part = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
-    x = x.withColumn("_bucket", F.floor(part * F.coalesce("_buckets", F.lit(1))))
-    # the order of a source is that of its buckets, so no task sees all of a source
-    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = x.groupBy(source, "_bucket").agg(F.sum("_chars").alias("_sum"))
-    base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(F.col(source).alias("_source"), F.col("_bucket").alias("_of"), "_base")
-    within = Window.partitionBy(source, "_bucket").orderBy(F.shiftrightunsigned("_hash", 11), "_hash", id).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_sum", F.sum("_chars").over(within) - F.col("_chars"))
-    x = x.join(base, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
-    x = x.withColumn("_start", F.col("_base") + F.col("_sum"))
+    return x.withColumn("_bucket", F.floor(F.col("_h") / F.lit(float(1 << 53)) * F.coalesce("_buckets", F.lit(1))))
+
+
+def _slotted(x: DataFrame, block_chars: int, ranges: list[tuple], table: list[tuple]) -> DataFrame:
+    """Adds _block and _slot of rows with _start."""
+    # as large as the sources are many, whatever their size
+    ranges = F.broadcast(x.sparkSession.createDataFrame(ranges, "_phase long, _in long, _before long, _upto long, _first long, _units long, _size long"))
+    slots = F.broadcast(x.sparkSession.createDataFrame(table, "_phase long, _index long, _nth long, _in_period long"))
     # empty texts behind a last block that is full have no block of their own
     x = x.withColumn("_block", F.least(F.floor(F.col("_start") / block_chars) + 1, "_blocks"))
     x = x.join(ranges, (F.col("_index") == F.col("_in")) & (F.col("_block") > F.col("_before")) & (F.col("_block") <= F.col("_upto")), "left")
     done = F.col("_block") - 1 - F.col("_before")
     x = x.withColumn("_nth", done % F.col("_units")).join(slots, ["_phase", "_index", "_nth"], "left")
-    return x.withColumn("_slot", F.col("_first") + F.floor(done / F.col("_units")) * F.col("_size") + F.col("_in_period")), end
+    return x.withColumn("_slot", F.col("_first") + F.floor(done / F.col("_units")) * F.col("_size") + F.col("_in_period"))
+
+
+def _scheduled(docs: DataFrame, sources, ranges, table, block_chars: int, seed: int) -> DataFrame:
+    """_keyed() rows with _block, _slot and _start."""
+    id, source = (f"c{_place(docs, name)}" for name in ("doc_id", "source"))
+    x = _keyed(docs, sources, seed)
+    # the order of a source is that of its buckets, so no task sees all of a source
+    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(source, "_bucket").agg(F.sum("_chars").alias("_sum"))
+    base = base.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(F.col(source).alias("_source"), F.col("_bucket").alias("_of"), "_base")
+    within = Window.partitionBy(source, "_bucket").orderBy("_h", "_hash", id, "_at").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_sum", F.sum("_chars").over(within) - F.col("_chars"))
+    x = x.join(F.broadcast(base), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
+    return _slotted(x.withColumn("_start", F.col("_base") + F.col("_sum")), block_chars, ranges, table)
 
 
 def _place(docs: DataFrame, name: str) -> int:
@@ -159,14 +169,40 @@ def _place(docs: DataFrame, name: str) -> int:
 
 def schedule(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
     """Block, slot and place of every row of docs (doc_id, text, source, ...); see the module for the result."""
-    x, _ = _scheduled(docs, weights, block_chars, resolution, temperature, seed, whole)
+    sources, ranges, table, _ = _plan(docs, weights, block_chars, resolution, temperature, whole)
+    x = _scheduled(docs, sources, ranges, table, block_chars, seed)
     own = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in ("block", "slot", "char_start")]
     return x.select(*own, F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("char_start"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION, temperature: float = TEMPERATURE, seed: int = 13, whole: bool | None = None) -> DataFrame:
-    """The mixture's rows in its order, with the columns of docs."""
-    x, end = _scheduled(docs, weights, block_chars, resolution, temperature, seed, whole)
+    """The mixture's rows in its order, with the columns of docs.
+
+    A part is a range of slots, so of each source it has a range of its order. Where these begin is found from ids, hashes and
+    lengths alone; by that every row goes to its part, in the only shuffle of texts, and there gets its slot. Rows of one id and text
+    may be on both sides of such an edge, so all of them go to both parts, which keep those whose slots are theirs.
+    """
+    sources, ranges, table, end = _plan(docs, weights, block_chars, resolution, temperature, whole)
     parts = max(1, -(-end * block_chars // PART_CHARS))
-    x = x.where("_slot IS NOT NULL").repartitionByRange(parts, "_slot").sortWithinPartitions("_slot", "_start", f"c{_place(docs, 'doc_id')}")
+    per = max(1, -(-end // parts))
+    x = _scheduled(docs.select("doc_id", "text", "source"), sources, ranges, table, block_chars, seed).where("_index IS NOT NULL")
+    x = x.withColumn("_tie", F.min("_start").over(Window.partitionBy("c2", "_bucket", "_h", "_hash", "c0")))
+    # what has no slot is behind the rest of its source
+    part = F.coalesce(F.floor(F.col("_slot") / per), F.lit(parts)).cast("int").alias("_part")
+    x = x.select("_index", part, "_buckets", F.struct(F.struct("_h", "_hash", F.col("c0").alias("_id")).alias("_low"), "_tie", F.col("_bucket").alias("_from")).alias("_edge"))
+    x = x.groupBy(F.col("_index").alias("_in_source"), "_part").agg(F.min("_edge").alias("_edge"), F.max("_buckets").alias("_of"))
+    after = Window.partitionBy("_in_source").orderBy("_part")
+    x = x.select("_in_source", "_part", "_edge.*", F.lead("_edge._low").over(after).alias("_high"), F.coalesce(F.lead("_edge._from").over(after), F.col("_of") - 1).alias("_to"))
+    edges, _ = _spark.cut(x.where(F.col("_part") < parts).withColumn("_of", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to"), "edges-of-parts")
+    if edges.limit(_spark.FEW + 1).count() <= _spark.FEW:
+        edges = F.broadcast(edges)
+
+    id = f"c{_place(docs, 'doc_id')}"
+    x = _keyed(docs, sources, seed).withColumn("_key", F.struct("_h", "_hash", F.col(id).alias("_id")))
+    here = (F.col("_index") == F.col("_in_source")) & (F.col("_bucket") == F.col("_of"))
+    x = x.join(edges, here & (F.col("_key") >= F.col("_low")) & (F.col("_high").isNull() | (F.col("_key") <= F.col("_high")))).drop("_key", "_low", "_high")
+    x = x.repartitionById(parts, F.col("_part"))
+    upto = Window.partitionBy("_part", "_index").orderBy("_h", "_hash", id, "_at").rowsBetween(Window.unboundedPreceding, 0)
+    x = _slotted(x.withColumn("_start", F.col("_tie") + F.sum("_chars").over(upto) - F.col("_chars")), block_chars, ranges, table)
+    x = x.where(F.floor(F.col("_slot") / per) == F.col("_part")).sortWithinPartitions("_slot", "_start", id)
     return x.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernel.llm import decontaminate, mixing, ngram_join, records, toxicity
-from tests.llm.helpers import documents, odd, prose
+from quernel.llm import _spark, decontaminate, mixing, ngram_join, records, toxicity
+from tests.llm.helpers import documents, odd, prose, shuffled
 
 # Pfair
 
@@ -138,6 +139,40 @@ def test_empty_behind_full_block(spark):
     assert mixing.schedule(docs, block_chars=100).where("slot IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_mixture_of_repeated_rows_in_parts(spark, monkeypatch, few):
+    """Parts are successive slots, and rows that are alike but for other columns are there once each, on whichever side of an edge."""
+    monkeypatch.setattr(mixing, "PART_CHARS", 2000)
+    monkeypatch.setattr(mixing, "BUCKET_CHARS", 5000)
+    monkeypatch.setattr(_spark, "FEW", few)
+    rng = random.Random(8)
+    rows = [(rng.randrange(12) or None, "x" * rng.choice([0, 70, 400, 3000]), rng.choice(["a", "b", None])) for _ in range(60)]
+    rows = [r for r in rows for _ in range(rng.choice([1, 1, 7]))]
+    docs = documents(spark, rows).withColumn("n_chars", F.monotonically_increasing_id()).repartition(5)
+    docs, _ = _spark.cut(docs, "repeated")
+    for options in ({}, {"weights": {"a": 2.0, "b": 1.0}}):
+        plan = mixing.schedule(docs, block_chars=150, **options).where("slot IS NOT NULL").orderBy("slot", "char_start", "doc_id").collect()
+        got = mixing.mix(docs, block_chars=150, **options)
+        assert got.rdd.getNumPartitions() > 5
+        got = got.collect()
+        assert [(r.doc_id, r.text, r.source) for r in got] == [(r.doc_id, r.text, r.source) for r in plan]
+        assert len({r.n_chars for r in got}) == len(got) and (options or len(got) == len(rows))
+
+
+def test_mix_shuffles_texts_once(spark):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)), "ab"[k % 2]) for k in range(100)]
+    docs, _ = _spark.cut(documents(spark, rows), "texts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = shuffled(spark)
+        assert mixing.mix(docs).count() == 100 and len(mixing.mix(docs).collect()) == 100
+        assert sum(n for name, n in shuffled(spark).items() if name not in old) < 1.2 * 100 * 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_mix_odd(spark):
     d = odd(spark)
     got = mixing.schedule(d)
