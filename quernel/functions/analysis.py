@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel import storage
+
 #: By length, then alphabetically.
 STOP_WORDS = tuple(
     (
@@ -103,16 +108,70 @@ def analyze(text: str | None, config: AnalyzerConfig = AnalyzerConfig()) -> list
     return out
 
 
+_INSIDE = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits + "'").encode(), np.uint8))
+_LOWER_BYTES = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+OFFSETS = ("term", "position", "start", "end")
+
+
+def offsets_of_batch(texts: pa.Array, config: AnalyzerConfig = AnalyzerConfig()) -> pa.ListArray:
+    """analyze() of many texts, as a list of (term, position, start, end) for each, from their bytes without an object per token."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    size = int(ends[-1] - ends[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if size else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside, edge = np.append(_INSIDE[data], False), np.zeros(size + 1, bool)
+    edge[ends] = True  # of texts
+    start = np.flatnonzero(inside[:-1] & (edge[:-1] | ~np.append(False, inside[:-2])[:size]))
+    length = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1 - start  # in bytes and in characters, as tokens are ASCII
+    chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # characters before each byte
+    row = np.searchsorted(ends, start, side="right") - 1
+    begin = chars[start] - chars[ends[row]]
+    bytes_ = (_LOWER_BYTES[data] if config.lowercase else data)[inside[:-1]]
+    terms = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32)), pa.py_buffer(bytes_))
+    if config.remove_stop_words and config.stop_words:
+        stay = ~pc.is_in(terms, value_set=pa.array(config.stop_words, pa.string())).to_numpy(zero_copy_only=False)
+        terms, row, begin, length = terms.filter(pa.array(stay)), row[stay], begin[stay], length[stay]
+    if config.stemmer == "simple":
+        words = terms.dictionary_encode()
+        terms = pa.array([stem_word(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    first = np.append(0, np.cumsum(np.bincount(row, minlength=len(texts))))
+    columns = [np.arange(len(row)) - first[row], begin, begin + length]
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([terms, *[pa.array(x, pa.int32()) for x in columns]], list(OFFSETS)))
+
+
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of a batch's texts of some 4 MB."""
+    return storage.slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1 << 22)
+
+
 def token_offsets(text: Column | str, config: AnalyzerConfig = AnalyzerConfig()) -> Column:
-    """Array of (term, position, start, end): cumulative, so done batch by batch in Python in linear time."""
+    """Array of (term, position, start, end): cumulative, so done over Arrow batches in linear time."""
 
-    @F.pandas_udf("array<struct<term string, position int, start int, end int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("term", "position", "start", "end"), x)) for x in analyze(t, config)])
+    @F.arrow_udf("array<struct<term string, position int, start int, end int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [offsets_of_batch(texts.slice(lo, hi - lo), config) for lo, hi in text_slices(texts)]
+        return pa.concat_arrays(parts) if parts else offsets_of_batch(texts, config)
 
     return run(F.coalesce(_col(text), F.lit("")))
 
 
+def explode_offsets(documents: DataFrame, id: str, text: str, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
+    """doc_id, pos, term, start, end: a row per token, handed on a few MB of text at a time, so memory doesn't rise with a batch's tokens."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in text_slices(b.column(1)):
+                found = offsets_of_batch(b.column(1).slice(lo, hi - lo), config)
+                of = np.repeat(np.arange(lo, hi), np.diff(found.offsets.to_numpy()))
+                term, *places = found.values.flatten()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), places[0].cast(pa.int64()), term, *[x.cast(pa.int64()) for x in places[1:]]], ["doc_id", "pos", "term", "start", "end"])
+
+    storage.ship(documents.sparkSession)
+    rows = documents.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(storage.tidy(run), "doc_id long, pos long, term string, start long, end long")
+
+
 def all_text(fields: Column | str) -> Column:
     """All field values, in the order of the fields' names, with a space between."""
     f = _col(fields)

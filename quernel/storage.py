@@ -6,10 +6,12 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -21,6 +23,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, in order, whose sizes add up to most at most; a row of its own if it is larger."""
+    total, lo = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def tidy(run):
+    """The function for mapInArrow, which then gives free memory back: workers live on, beside those of later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def workspace(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
