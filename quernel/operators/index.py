@@ -19,6 +19,8 @@ from quernel import storage
 from quernel.functions import analysis
 from quernel.functions.analysis import AnalyzerConfig
 
+#: Tokens that a worker sorts at once, of one document if it has more.
+TOKENS = 1 << 18
 POSTINGS = "term string, doc_id long, tf int, positions array<int>"
 
 
@@ -55,9 +57,11 @@ def build_postings(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield postings_of_batch(b.column(0), b.column(1))
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in storage.slices(sizes, TOKENS):
+                yield postings_of_batch(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo))
 
-    return docs.select("doc_id", "tokens").mapInArrow(run, POSTINGS)
+    return docs.select("doc_id", "tokens").mapInArrow(storage.tidy(run), POSTINGS)
 
 
 def by_term(postings: DataFrame) -> DataFrame:

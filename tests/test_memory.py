@@ -44,3 +44,27 @@ def test_csv_keeps_white_space(spark, tmp_path):
     spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.title: r.content for r in catalog.QUERIES["load_csv"](spark, str(tmp_path)).collect()}
     assert got == {f"s{i}": t.replace("\n", " ") for i, t in enumerate(texts)}
+
+
+def test_postings_of_slices(spark, monkeypatch):
+    from quernel.operators import index
+
+    sizes = []
+    of_batch = index.postings_of_batch
+    monkeypatch.setattr(index, "TOKENS", 10)
+    monkeypatch.setattr(index, "postings_of_batch", lambda ids, tokens: sizes.append(len(tokens.flatten())) or of_batch(ids, tokens))
+    monkeypatch.setattr(index.storage, "ship", lambda spark: spark)
+
+    class Docs:  # takes what would be sent to workers
+        sparkSession = None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    tokens = [["a", "b", "a"]] * 7 + [["c"] * 30, None, ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(tokens)], ["doc_id", "tokens"])
+    rows = [tuple(r.values()) for b in index.build_postings(Docs())(iter([batch])) for r in b.to_pylist()]
+    assert sizes == [9, 9, 3, 30, 1] and len(rows) == 16 and ("a", 3, 2, [0, 2]) in rows and ("c", 7, 30, list(range(30))) in rows
