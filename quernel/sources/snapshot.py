@@ -9,6 +9,7 @@ loading gives back what was saved. Caches, fuzzy vocabulary and rankers aren't p
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,15 @@ class Snapshot:
     terms: int
 
 
-def save(path: str, docs: DataFrame, postings: DataFrame, next_id: int = 1) -> None:
-    """Writes a snapshot, in place of an older one."""
+def save(path: str, docs: DataFrame, postings: DataFrame | Callable[[DataFrame], DataFrame], next_id: int = 1) -> None:
+    """Writes a snapshot, in place of an older one. postings may be a function that makes them of the docs table, which then reads the written one."""
     spark = docs.sparkSession
     fs, p = _fs(spark, path)
     name = f"tables-{uuid.uuid4().hex}"
-    inputs = [*docs.inputFiles(), *postings.inputFiles()]
+    inputs = [*docs.inputFiles(), *([] if callable(postings) else postings.inputFiles())]
     docs.write.parquet(f"{path}/{name}/docs")
+    if callable(postings):
+        postings = postings(spark.read.schema(docs.schema).parquet(f"{path}/{name}/docs"))
     by_term(postings).write.parquet(f"{path}/{name}/postings")
     back = spark.read.parquet(f"{path}/{name}/postings")
     row = (FORMAT, VERSION, name, next_id, spark.read.parquet(f"{path}/{name}/docs").count(), back.select("term").distinct().count())
