@@ -13,7 +13,7 @@ from quernel.functions.edit_distance import ngrams, osa_distance
 
 def ngram_index(terms: DataFrame) -> DataFrame:
     """(ngram, term), each once, of a table of terms."""
-    return terms.select(F.explode(F.array_distinct(ngrams("term"))).alias("ngram"), "term").distinct()
+    return terms.select("term").distinct().select(F.explode(F.array_distinct(ngrams("term"))).alias("ngram"), "term")
 
 
 def match_words(grams: DataFrame, words: DataFrame, max_distance: int = 0, limit: int = 10) -> DataFrame:

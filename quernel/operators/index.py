@@ -78,6 +78,11 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.select("term").distinct()
 
 
+def terms_of(docs: DataFrame) -> DataFrame:
+    """The vocabulary from the docs table."""
+    return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+
+
 def document_frequency(docs: DataFrame) -> DataFrame:
     """term, df from the docs table: no positions, and partial counts leave little to shuffle."""
     return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -177,3 +182,20 @@ def found_in(docs: DataFrame, postings: DataFrame, stats: Stats, most: int = 1_0
 def candidates(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents that any of the terms occurs in."""
     return docs.where(F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(set(terms)))))) if terms else docs.limit(0)
+
+
+def asked(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """All that a search for the terms needs of the docs table, by one pass: doc_id, term_count and found, the terms that occur, of each document, and
+    fields of those where any does. Once written, statistics and hits are read from it."""
+    found = docs.select("doc_id", "fields", "term_count", F.array_intersect(F.array(*map(F.lit, sorted(set(terms)))).cast("array<string>"), "tokens").alias("found"))
+    return found.select("doc_id", "term_count", "found", F.when(F.size("found") > 0, F.col("fields")).alias("fields"))
+
+
+def found_of(rows: DataFrame) -> DataFrame:
+    """Of asked(): the documents that any of the terms occurs in, with text and lt."""
+    d = rows.where(F.size("found") > 0).select("doc_id", "fields", analysis.all_text("fields").alias("text"), "term_count")
+    return d.withColumn("lt", analysis.ascii_lower("text"))
+
+
+def stats_of_asked(rows: DataFrame, terms: list[str]) -> Stats:
+    return query_stats(rows.withColumnRenamed("found", "tokens"), terms)

@@ -46,9 +46,13 @@ def ranker_name(o: SearchOptions, registry: Registry) -> str:
 
 def hits(docs: DataFrame, terms: list[str], stats: index.Stats, ranker: Ranker = bm25, k1: float = K1, b: float = B, postings: DataFrame | None = None) -> DataFrame:
     """Candidates that score over 0: the docs table with a column score."""
-    score = ranker(ScoreContext(terms, stats, k1, b)).cast("double")
     found = index.candidates(docs, terms) if postings is None else index.found_in(docs, postings, stats)
-    return found.withColumn("score", score).where("score > 0")
+    return scored(found, terms, stats, ranker, k1, b)
+
+
+def scored(found: DataFrame, terms: list[str], stats: index.Stats, ranker: Ranker = bm25, k1: float = K1, b: float = B) -> DataFrame:
+    """The candidates that score over 0."""
+    return found.withColumn("score", ranker(ScoreContext(terms, stats, k1, b)).cast("double")).where("score > 0")
 
 
 def ordered(found: DataFrame) -> DataFrame:
