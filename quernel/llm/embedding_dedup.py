@@ -39,6 +39,8 @@ from quernel.llm import _spark, _text
 THRESHOLD, TREES, LEAF, SPILL = 0.9, 6, 1024, 0.05
 #: Sampled vectors for each leaf to be, and at most for a node; vectors that are compared as a whole.
 PER_LEAF, SAMPLE, CELL = 128, 32_768, 4096
+#: Bytes of subtrees that are sent to all tasks at most; more are joined to the vectors.
+SENT = 1 << 25
 #: The share of similar pairs from which a node isn't split, and where cuts lie.
 DENSE, MIDDLE = 0.25, 0.4
 NODES = "sid long, tree int, node long, dim int, stuck boolean"
@@ -68,13 +70,13 @@ def directions(seed: int, tree: int, depth: int, levels: int, dim: int) -> np.nd
 
 
 def grow(x: np.ndarray, seed: int, tree: int, node: int, leaves: float, spill: float, threshold: float) -> bytes:
-    """A subtree for about so many leaves from sampled vectors of a node: its levels, and the cuts of each inner node in order of
-    levels (NaN at nodes that aren't inner). Of the cuts from MIDDLE to 1 - MIDDLE of the vectors that with the widest margin is taken."""
+    """A subtree for about so many leaves from sampled vectors of a node: its levels, the inner nodes in ascending order (the root is 1,
+    those below k are 2 k and 2 k + 1) and their cuts. Of the cuts from MIDDLE to 1 - MIDDLE of the vectors that with the widest margin is taken."""
     depth = node.bit_length() - 1
     levels = min(int(np.ceil(np.log(max(2.0, leaves)) / -np.log(1 - MIDDLE + spill))), 62 - depth)
     shares = np.linspace(MIDDLE, 1 - MIDDLE, 9)
     p = x @ directions(seed, tree, depth, levels, x.shape[1])
-    cuts = np.full(((1 << levels) - 1, 2), np.nan)
+    cuts = {}
     now = {1: np.arange(len(x))}
     for level in range(levels):
         after = {}
@@ -89,27 +91,30 @@ def grow(x: np.ndarray, seed: int, tree: int, node: int, leaves: float, spill: f
             low, high = lows[widest], highs[widest]
             left, right = rows[p[rows, level] <= high], rows[p[rows, level] >= low]
             if max(len(left), len(right)) < len(rows):
-                cuts[k - 1] = low, high
+                cuts[k] = low, high
                 after[2 * k], after[2 * k + 1] = left, right
         now = after
-    return struct.pack("<q", levels) + cuts.tobytes()
+    inner = sorted(cuts)
+    return struct.pack("<qq", levels, len(inner)) + np.array(inner, np.int64).tobytes() + np.array([cuts[k] for k in inner], np.float64).tobytes()
 
 
 def send(x: np.ndarray, seed: int, tree: int, node: int, subtree: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
     """The leaves of vectors of a node: places, leaves, and whether the node is one itself."""
-    (levels,) = struct.unpack("<q", subtree[:8])
-    cuts = np.frombuffer(subtree, np.float64, offset=8).reshape(-1, 2)
+    levels, n = struct.unpack("<qq", subtree[:16])
+    cuts = dict(zip(np.frombuffer(subtree, np.int64, n, 16).tolist(), np.frombuffer(subtree, np.float64, 2 * n, 16 + 8 * n).reshape(-1, 2).tolist()))
     p = x @ directions(seed, tree, node.bit_length() - 1, levels, x.shape[1])
     places, leaves, todo = [], [], [(1, 0, np.arange(len(x)))]
     while todo:
         k, level, rows = todo.pop()
-        if level == levels or np.isnan(cuts[k - 1, 0]):
+        if not len(rows):
+            continue
+        if k not in cuts:
             places.append(rows)
             leaves.append(np.full(len(rows), (node << level) | (k - (1 << level)), np.int64))
             continue
-        low, high = cuts[k - 1]
+        low, high = cuts[k]
         todo += [(2 * k, level + 1, rows[p[rows, level] <= high]), (2 * k + 1, level + 1, rows[p[rows, level] >= low])]
-    return np.concatenate(places), np.concatenate(leaves), bool(np.isnan(cuts[0, 0]))
+    return np.concatenate(places), np.concatenate(leaves), 1 not in cuts
 
 
 def _unique(vectors: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -148,7 +153,7 @@ def _forest(unique: DataFrame, threshold: float, trees: int, leaf: int, spill: f
         leaves = table.column("count")[0].as_py() / leaf
         return pa.table({"tree": pa.array([tree], pa.int32()), "node": [node], "dim": pa.array([dim], pa.int32()), "subtree": pa.array([grow(x, seed, tree, node, leaves, spill, threshold)], pa.binary())})
 
-    def assign(batches):
+    def assign(batches):  # known: what is broadcast in this round
         for b in batches:
             sid, tree, node, dim = (b.column(k).to_numpy() for k in range(4))
             order = np.lexsort((dim, node, tree))
@@ -157,7 +162,8 @@ def _forest(unique: DataFrame, threshold: float, trees: int, leaf: int, spill: f
                 part = order[lo:hi]
                 k = int(part[0])
                 ((_, x),) = matrices(b.column(4).take(pa.array(part)))
-                at, leaves, stuck = send(x, seed, int(tree[k]), int(node[k]), b.column(5)[k].as_py())
+                of = known.value[int(tree[k]), int(node[k]), int(dim[k])] if known is not None else b.column(5)[k].as_py()
+                at, leaves, stuck = send(x, seed, int(tree[k]), int(node[k]), of)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(sid[part[at]]), pa.array(np.full(n, tree[k], np.int32)), pa.array(leaves), pa.array(np.full(n, dim[k], np.int32)), pa.array(np.full(n, stuck))], ["sid", "tree", "node", "dim", "stuck"])
 
@@ -180,10 +186,16 @@ def _forest(unique: DataFrame, threshold: float, trees: int, leaf: int, spill: f
         subtrees = now.where(some).select(*key, "count", "x").groupBy(*key).applyInArrow(fit, "tree int, node long, dim int, subtree binary")
         subtrees, path = _spark.cut(subtrees, "subtrees")
         paths.append(path)
-        # 64 subtrees are 8 MB at most
-        now = now.select("sid", *key, "x").join(F.broadcast(subtrees) if few <= 64 else subtrees, key)
-        nodes, path = _spark.cut(now.select("sid", *key, "x", "subtree").mapInArrow(_text.tidy(assign), NODES), "nodes")
+        # a subtree has 24 bytes for each leaf, so all of them have less than a byte for each vector; no row carries its own
+        known, now = None, now.select("sid", *key, "x")
+        if (subtrees.agg(F.sum(F.length("subtree") + 64)).first()[0] or 0) <= SENT:
+            known = spark.sparkContext.broadcast({(r.tree, r.node, r.dim): bytes(r.subtree) for r in subtrees.collect()})
+        else:
+            now = now.join(subtrees, key).select("sid", *key, "x", "subtree")
+        nodes, path = _spark.cut(now.mapInArrow(_text.tidy(assign), NODES), "nodes")
         paths.append(path)
+        if known is not None:
+            known.unpersist()
 
 
 def _search(rows: DataFrame, threshold: float, as_pairs: bool) -> DataFrame:
